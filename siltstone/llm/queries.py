@@ -21,6 +21,18 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "documents"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.sharding import shard_documents
+
+    return shard_documents(read(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.rules import quality_rules
+
+    return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").where("quality = 1"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.decontaminate import contamination
 
@@ -34,7 +46,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op3_byte_bpe, op9_decontaminate, op10_token_counts)}
+    return {f.__name__: f for f in (op1_secret_scan, op3_byte_bpe, op4_sharding, op8_quality_rules, op9_decontaminate, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,7 +15,7 @@ from siltstone.llm.batches import cut
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
 #: Mean log ratio under which a document is not kept, and n-grams by which short texts are drawn towards 0.
-THRESHOLD = -0.35
+THRESHOLD = -0.14
 PRIOR = 20
 WINDOW = 8
 #: White space of the rules, as a class of Java's patterns and DuckDB's alike.

@@ -27,6 +27,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.ngram_join import similarity_join
+
+    return similarity_join(read(spark, sf_dir, "documents")).drop("node")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.rules import quality_rules
 
@@ -46,7 +52,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op3_byte_bpe, op4_sharding, op8_quality_rules, op9_decontaminate, op10_token_counts)}
+    return {f.__name__: f for f in (op1_secret_scan, op3_byte_bpe, op4_sharding, op5_ngram_join, op8_quality_rules, op9_decontaminate, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,6 +15,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(read(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.lines import dedup_lines
+
+    return dedup_lines(read(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.bpe import round_trip
 
@@ -52,7 +58,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op3_byte_bpe, op4_sharding, op5_ngram_join, op8_quality_rules, op9_decontaminate, op10_token_counts)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_byte_bpe, op4_sharding, op5_ngram_join, op8_quality_rules, op9_decontaminate, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,12 +1,84 @@
-"""The document pipeline: quality, line dedup, near duplicates, benchmark leaks, tokens."""
+"""The document pipeline: quality, line dedup, near duplicates, benchmark leaks, tokens.
+
+Each stage takes what the one before kept; all but the last return the columns of ``documents``.  ``run`` applies them
+in turn, each written as Parquet to the shared folder and read again.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.llm import batches, bpe, crf_quality, decontaminate, lines, ngram_join
+from siltstone.llm.sieve import marked, sieve
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _rows_with_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``node``, the MD5 of the text: decisions are joined by it and doc_id."""
+    return docs.withColumn("node", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents whose lines the field takes for bad.  Scores are joined to the rows they were made of: the
+    model runs on the rows themselves, so no text is shuffled."""
+    return crf_quality.keep_good(docs, batches.read(spark, sf_dir, "documents"), batches.read(spark, sf_dir, "labels"))
+
+
+def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes lines that match an earlier one.  A document of which nothing is left but white space goes, if it had
+    something; n_chars follows the text."""
+    own = docs.withColumns({"had": F.coalesce("text", F.lit("")).rlike(r"\S"), "text_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
+    found = lines.duplicate_lines(lines.keyed(docs))
+    out = lines.removed(own, found).where("not had or text rlike '\\\\S'")
+    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of equal or similar documents the one with the least doc_id stays (of rows that agree in it, one)."""
+    found = ngram_join.similarity_join(docs)
+    several = batches.cut(found.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("class_id"))
+    inside = found.join(several, found["class_id"].eqNullSafe(several["class_id"])).select(found["doc_id"], found["class_id"], found["node"])
+    inside = batches.cut(inside.distinct())
+    rows = marked(_rows_with_key(docs), F.col("node"), sieve(inside, "node"))
+    alone = rows.where("not may_match").select(*docs.columns)
+    named = inside.select(F.col("doc_id").alias("i"), F.col("node").alias("k"), "class_id", F.lit(True).alias("within"))
+    rest = rows.where("may_match").join(named, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("node") == F.col("k")), "left")
+    single = rest.where("within is null").select(*docs.columns)
+    best = rest.where("within and doc_id <=> class_id").groupBy("class_id").agg(F.min_by(F.struct(*docs.columns), "node").alias("d"))
+    return alone.unionByName(single).unionByName(best.select("d.*"))
+
+
+def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents with a window of a test item."""
+    return decontaminate.keep_clean(docs, batches.read(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids and digests of what is left."""
+    return bpe.round_trip(docs, keep_ids=True)
+
 
-STAGES = []
+STAGES = [
+    ("quality classifier", good_quality),
+    ("line dedup", new_lines),
+    ("n-gram Jaccard join", one_of_each),
+    ("benchmark decontamination", not_in_benchmark),
+    ("byte-level BPE encoding and decoding", tokens),
+]
+#: Training a field, MinHash and recursive merges have no SQL form that is exact; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``."""
+    docs = batches.read(spark, sf_dir, "documents")
+    batches.shared_folder(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.batches import documents, map_slices
+from siltstone.llm.batches import documents, map_slices, slices
 
 #: Bound of the labelled sample.
 TRAIN_DOCUMENTS = 1_500
@@ -203,6 +203,18 @@ def training_sample(df: DataFrame, labels: DataFrame, most: int = TRAIN_DOCUMENT
     return [(r["text"], r["quality"]) for r in rows.orderBy("doc_id").collect()]
 
 
+def keep_good(df: DataFrame, labelled: DataFrame, labels: DataFrame, most: int = TRAIN_DOCUMENTS) -> DataFrame:
+    """The rows of ``df`` (all its columns) whose score is at least PREDICT_AT; trained on texts of ``labelled``."""
+    sample = training_sample(labelled, labels, most)
+    model = train([t for t, _ in sample], [q for _, q in sample])
+
+    def run(batches):
+        for part in slices(batches, "text"):
+            yield part.filter(pa.array(model([x or "" for x in part.column("text").to_pylist()]) >= PREDICT_AT))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def quality_scores(df: DataFrame, labels: DataFrame, most: int = TRAIN_DOCUMENTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted of every document, by its text alone.
 

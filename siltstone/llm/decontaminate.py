@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.batches import cut, documents, map_slices
+from siltstone.llm.batches import cut, documents, map_slices, slices
 
 WINDOW = 10
 #: Bytes of item texts in one automaton.
@@ -128,6 +128,26 @@ def contamination(df: DataFrame, benchmark: DataFrame, size: int = WINDOW, bound
     )
 
 
+def keep_clean(df: DataFrame, benchmark: DataFrame, size: int = WINDOW, bound: int = AUTOMATON_BYTES) -> DataFrame:
+    """The rows of ``df`` (all its columns) without a hit, scanned in place, so that no text is shuffled.  Beyond
+    ``bound`` the blocks of items follow one another, each over what the one before kept."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("item_text"))
+    total = items.agg(F.coalesce(F.sum(F.octet_length("item_text") + 64), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // bound))
+    for b in range(blocks):
+        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "item_text"), F.lit(blocks)) == b)
+        sent = df.sparkSession.sparkContext.broadcast([tuple(r) for r in own.toLocalIterator()])
+
+        def run(batches, sent=sent):
+            scan = None
+            for part in slices(batches, "text"):
+                scan = scan or Scanner(sent.value, size)
+                yield part.filter(pa.array([not scan(x or "")[1] for x in part.column("text").to_pylist()], pa.bool_()))
+
+        df = df.mapInArrow(run, df.schema)
+    return df
+
+
 def _in_blocks(docs: DataFrame, items: DataFrame, blocks: int, size: int) -> DataFrame:
     """One scan a block of items; only documents with hits are shuffled, by id and text."""
     docs = docs.withColumn("key", F.md5("text"))

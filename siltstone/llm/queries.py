@@ -45,6 +45,12 @@ def op6_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.quotes import reply_ordered
+
+    return reply_ordered(read(spark, sf_dir, "conversations"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.rules import quality_rules
 
@@ -64,7 +70,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_byte_bpe, op4_sharding, op5_ngram_join, op6_crf_quality, op8_quality_rules, op9_decontaminate, op10_token_counts)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_byte_bpe, op4_sharding, op5_ngram_join, op6_crf_quality, op7_quote_links, op8_quality_rules, op9_decontaminate, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

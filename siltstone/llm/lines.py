@@ -1,8 +1,8 @@
 """Line dedup as an exact set-similarity join, in DataFrame functions only.
 
-A line is the set of its words.  Equal sets are classes, found by aggregation.  Between classes: the words of a line are
+A line is the set of its words, which blanks separate.  Equal sets are classes, found by aggregation.  Between classes: the words of a line are
 ordered by rarity, a line is filed under the words of its prefix, lines that share a key and pass the length and
-positional filters are candidates, and the candidates' full word sets decide.  A line that matches an earlier one is
+positional filters (and one of 64 bits over all words) are candidates, and the candidates' full word sets decide.  A line that matches an earlier one is
 removed.
 
 Rarity is a count over all lines in a fixed number of hash buckets, so the order is a table of fixed size; ties are
@@ -22,13 +22,10 @@ from siltstone.llm.sieve import marked, sieve
 NUMERATOR, DENOMINATOR = 4, 5
 #: Lines with fewer words are left alone.
 LEAST_WORDS = 5
-RARITY_BUCKETS = 1 << 16
+RARITY_BUCKETS = 1 << 19
 #: A word in more than 1 of so many lines (and in more than LEAST_FREQUENT) is frequent; so is a class of equal lines.
-FREQUENT_ONE_IN, LEAST_FREQUENT = 2_000, 200
+FREQUENT_ONE_IN, LEAST_FREQUENT = 5_000, 300
 HOT_ONE_IN = 1_000
-BLANK = r"[\x20\x09-\x0D]+"
-#: Hash bits under the rank in a word's order.
-LOW = (1 << 48) - 1
 
 
 def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -38,72 +35,78 @@ def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """pos (doc_id, text_hash, line number; the order of lines) and words (distinct) of the lines that take part."""
-    out = docs.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    out = out.withColumn("words", F.filter(F.split("line", BLANK), lambda w: w != "")).where(F.size("words") >= LEAST_WORDS)
-    return out.select(F.struct("doc_id", "text_hash", "line_no").alias("pos"), F.array_distinct("words").alias("words"))
+    """doc_id, text_hash, line_no (these three give the order of lines), words and hashes (sorted, of the distinct words)
+    of the lines that take part.
+
+    The words are made inside the generator, which gives them once; a filter on a later column would split anew."""
+    words = F.transform(F.split("text", "\n"), lambda x: F.array_remove(F.split(x, " "), ""))
+    out = docs.select("doc_id", "text_hash", F.posexplode_outer(words).alias("line_no", "words")).where(F.size("words") >= LEAST_WORDS)
+    return out.withColumn("hashes", F.sort_array(F.array_distinct(F.transform("words", lambda w: F.xxhash64(w)))))
 
 
 def class_keys(lines: DataFrame) -> DataFrame:
-    """Adds k1 and k2: two independent 64-bit hashes of the set of words."""
-    mixed = lambda seed: F.aggregate("words", F.lit(seed).cast("long"), lambda s, w: s.bitwiseXOR(F.xxhash64(w, F.lit(seed))))
-    return lines.withColumns({"k1": F.xxhash64(mixed(11), F.size("words")), "k2": mixed(23)})
+    """Adds k1 and k2: two 64-bit hashes of the set of words."""
+    return lines.withColumns({"k1": F.xxhash64("hashes"), "k2": F.xxhash64(F.lit(7), "hashes")})
 
 
 def rarity(lines: DataFrame) -> DataFrame:
-    """One row: lines (their number) and counts, by bucket of words, of the lines' words."""
-    counts = lines.select(F.explode("words").alias("w")).select(F.pmod(F.xxhash64("w"), F.lit(RARITY_BUCKETS)).cast("int").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    """One row, one array: of each bucket of words, the rank of how many lines have them (0 to 32,767, by logarithm)."""
+    bucket = F.pmod("h", F.lit(RARITY_BUCKETS)).cast("int")
+    counts = lines.select(F.explode_outer("hashes").alias("h")).groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
     every = lines.sparkSession.range(RARITY_BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
-    table = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", F.coalesce("n", F.lit(0).cast("long")).alias("n")))), lambda x: x["n"]).alias("counts"))
-    return table.crossJoin(F.broadcast(lines.agg(F.count(F.lit(1)).alias("lines"))))
-
-
-def filing(lines: DataFrame, table: DataFrame) -> DataFrame:
-    """k1, n, and for each key under which the line is filed: key and at (its first word's position in the order)."""
-    lines = lines.crossJoin(F.broadcast(table))
-    count = lambda w: F.get("counts", F.pmod(F.xxhash64(w), F.lit(RARITY_BUCKETS)).cast("int"))
-    rank = lambda c: F.least(F.floor(F.log2(c + F.lit(1)) * 700), F.lit(32_767)).cast("long")
-    most = F.greatest(F.floor(F.col("lines") / FREQUENT_ONE_IN), F.lit(LEAST_FREQUENT))
-    order = F.array_sort(F.transform("words", lambda w: F.shiftleft(rank(count(w)), 48).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit(LOW)))))
-    out = lines.select("k1", F.size("words").alias("n"), rank(most).alias("frequent"), order.alias("order"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", _rank(F.coalesce("n", F.lit(0))).alias("r")))), lambda x: x["r"]).alias("ranks"))
+
+
+def _rank(count: Column) -> Column:
+    return F.least(F.floor(F.log2(count + F.lit(1)) * 700), F.lit(32_767)).cast("int")
+
+
+def filing(lines: DataFrame, ranks: DataFrame, total: int) -> DataFrame:
+    """For each key under which a line is filed: key, k1, bits and sizes (the set's size and the position of the key's
+    first word in the order, in one number).
+
+    ``bits`` has a bit set for every word's hash modulo 64: two sets differ in at least as many words as bits."""
+    # A subquery's value enters the function that uses it once the projections are merged; no row carries the table.
+    lines = lines.select("k1", "hashes", ranks.scalar().alias("ranks"))
+    frequent = _rank(F.lit(max(total // FREQUENT_ONE_IN, LEAST_FREQUENT))).cast("long")
+    rank = lambda h: F.get("ranks", F.pmod(h, F.lit(RARITY_BUCKETS)).cast("int")).cast("long")
+    order = F.sort_array(F.transform("hashes", lambda h: F.shiftleft(rank(h), 48).bitwiseOR(F.shiftrightunsigned(h, 16))))
+    bits = F.aggregate("hashes", F.lit(0).cast("long"), lambda s, h: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
+    out = lines.select("k1", F.size("hashes").alias("n"), order.alias("order"), bits.alias("bits"))
     # A set of n words shares at least ceil(4 n / 5) words with one that is alike.
-    prefix = F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR).cast("int") + 1
-    out = out.withColumn("prefix", prefix)
-    out = out.withColumn("longer", F.slice("order", 1, F.col("prefix") + 1))
-    single = F.transform(F.slice("order", 1, F.col("prefix")), lambda w, i: F.when(F.shiftrightunsigned(w, 48) <= F.col("frequent"), F.array(F.struct(w.alias("key"), i.alias("at")))))
-    # Sets of one word share no second word; they are alike only if equal.
-    double = F.transform(
-        F.slice("order", 1, F.col("prefix")),
-        lambda w, i: F.when(
-            F.shiftrightunsigned(w, 48) > F.col("frequent"),
-            F.transform(F.filter("longer", lambda v: v > w), lambda v: F.struct(F.xxhash64(w, v).alias("key"), i.alias("at"))),
-        ),
-    )
-    keys = F.filter(F.flatten(F.filter(F.concat(single, double), lambda x: x.isNotNull())), lambda x: x.isNotNull())
-    out = out.withColumn("filed", F.explode(keys))
-    return out.select("k1", "n", F.col("filed.key").alias("key"), F.col("filed.at").alias("at"))
+    out = out.withColumn("size", F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR).cast("int") + 1)
+    out = out.withColumns({"prefix": F.slice("order", 1, F.col("size")), "longer": F.slice("order", 1, F.col("size") + 1)})
+    rare = lambda w: F.shiftrightunsigned(w, 48) <= frequent
+    single = F.transform("prefix", lambda w, i: F.when(rare(w), F.struct(w.alias("key"), i.alias("at"))))
+    # Sets of one word share no second one; they are alike only if they are equal.
+    double = F.flatten(F.transform("prefix", lambda w, i: F.transform(F.filter("longer", lambda v: v > w), lambda v: F.struct(F.xxhash64(w, v).alias("key"), i.alias("at")))))
+    out = out.withColumn("alone", F.filter(single, lambda x: x.isNotNull()))
+    common = F.when(F.size("alone") < F.size("prefix"), F.filter(double, lambda x: x["at"] >= F.size("alone")))
+    out = out.select("k1", "n", "bits", F.explode_outer(F.concat("alone", F.coalesce(common, F.slice("alone", 1, 0)))).alias("f"))
+    return out.select(F.col("f.key").alias("key"), "k1", "bits", (F.col("n").cast("long") * (1 << 32) + F.col("f.at")).alias("sizes"))
 
 
 def candidates(filed: DataFrame) -> DataFrame:
-    """a, b: classes (by k1) that share a key and pass the length and positional filters."""
+    """a, b: classes (by k1) that share a key and pass the length, positional and bit filters."""
     filed = filed.repartition("key").distinct()
-    filed = filed.select("key", "k1", "n", "at")
     x, y = filed.alias("x"), filed.alias("y")
-    total = F.col("x.n") + F.col("y.n")
-    least = F.ceil(total * NUMERATOR / (NUMERATOR + DENOMINATOR))
-    rest = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    same_size = (F.col("x.n") * DENOMINATOR >= F.col("y.n") * NUMERATOR) & (F.col("y.n") * DENOMINATOR >= F.col("x.n") * NUMERATOR)
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.k1") < F.col("y.k1")) & same_size & (rest >= least))
+    xn, yn = (F.shiftright(F.col(f"{s}.sizes"), 32) for s in "xy")
+    x_at, y_at = (F.col(f"{s}.sizes").bitwiseAND(F.lit((1 << 32) - 1)) for s in "xy")
+    same_size = (xn * DENOMINATOR >= yn * NUMERATOR) & (yn * DENOMINATOR >= xn * NUMERATOR)
+    # The key's first word and those after it must make up the wanted overlap, 4/9 of both sizes.
+    enough = F.least(xn - x_at, yn - y_at) * (NUMERATOR + DENOMINATOR) >= (xn + yn) * NUMERATOR
+    near = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) * (NUMERATOR + DENOMINATOR) <= xn + yn
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.k1") < F.col("y.k1")) & near & same_size & enough)
     return pairs.select(F.col("x.k1").alias("a"), F.col("y.k1").alias("b")).distinct()
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash and line_nos (an array) of the lines that match an earlier line; ``docs`` as from ``keyed``."""
+    pos = F.struct("doc_id", "text_hash", "line_no")
     lines = class_keys(lines_of(docs))
-    table = cut(rarity(lines))
-    keys = lines.select("k1", "k2", "pos")
+    keys = cut(lines.select("k1", "k2", pos.alias("pos")))
+    total = keys.count()
     classes = cut(keys.groupBy("k1", "k2").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    total = table.select("lines").first()[0]
     least = max(total // HOT_ONE_IN, 1)
     # No more than HOT_ONE_IN classes have so many lines: they are broadcast, the rest is joined by shuffle.
     hot = F.broadcast(classes.where(F.col("n") > least).select("k1", "k2", "first"))
@@ -111,12 +114,12 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     one = keys.join(hot, ["k1", "k2"])
     many = keys.join(hot, ["k1", "k2"], "left_anti").join(cold, ["k1", "k2"])
     equal = one.unionByName(many).where("pos > first").select("pos")
-    fresh = lines.join(hot, ["k1", "k2"], "left").where("first is null or pos = first")
-    pairs = cut(candidates(filing(fresh.select("k1", "words"), table)))
+    fresh = lines.select("k1", "k2", "hashes", pos.alias("pos")).join(hot, ["k1", "k2"], "left").where("first is null or pos = first")
+    pairs = cut(candidates(filing(fresh.select("k1", "hashes"), rarity(lines), total)))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
-    sets = marked(lines, F.col("k1"), sieve(ids, "k1")).where("may_match")
-    sets = sets.groupBy("k1", "k2").agg(F.min("pos").alias("pos"), F.first("words").alias("words"))
-    sets = cut(sets.join(ids, "k1").select("k1", "pos", "words"))
+    sets = marked(lines, F.col("k1"), sieve(ids, "k1")).where("may_match").select("k1", "k2", pos.alias("pos"), "words")
+    sets = sets.groupBy("k1", "k2").agg(F.min("pos").alias("pos"), F.first("words").alias("words")).join(ids, "k1")
+    sets = cut(sets.select("k1", "pos", F.array_distinct("words").alias("words")))
     a, b = (sets.select(F.col("k1").alias(s), F.col("pos").alias(f"{s}_pos"), F.col("words").alias(f"{s}_words")) for s in "ab")
     both = pairs.join(a, "a").join(b, "b")
     overlap = F.size(F.array_intersect("a_words", "b_words"))

@@ -89,7 +89,8 @@ def score(df: DataFrame, counts: DataFrame, buckets: int = BUCKETS) -> DataFrame
     every = df.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b"))
     filled = every.join(counts, "b", "left").na.fill(0, ["raw", "target"]).crossJoin(F.broadcast(total))
     table = filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", F.round(value, 9).alias("v")))), lambda x: x["v"]).alias("ratios"))
-    df = df.crossJoin(F.broadcast(table))
+    # A subquery's value enters the function that uses it once the projections are merged; no row carries the table.
+    df = df.select("*", table.scalar().alias("ratios"))
     total = F.aggregate(gram_buckets(buckets), F.lit(0.0), lambda s, b: s + F.get("ratios", b))
     df = df.withColumn("n_grams", F.greatest(2 * F.col("n_words") - 1, F.lit(0)))
     return df.withColumn("ratio", total / (F.col("n_grams") + PRIOR)).drop("ratios")

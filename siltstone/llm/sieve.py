@@ -28,7 +28,9 @@ def sieve(keys: DataFrame, column: str) -> DataFrame:
 
 
 def marked(df: DataFrame, key: Column, built: DataFrame, name: str = "may_match") -> DataFrame:
-    """Adds a boolean: false proves that the key is not among those the sieve was built of."""
-    df = df.withColumn("sieve_at", _place(key)).crossJoin(F.broadcast(built))
-    bit = F.expr("shiftright(sieve_words[cast(sieve_at div 64 as int)], cast(sieve_at % 64 as int))").bitwiseAND(F.lit(1).cast("long"))
-    return df.withColumn(name, bit == 1).drop("sieve_words", "sieve_at")
+    """Adds a boolean: false proves that the key is not among those the sieve was built of.
+
+    The sieve enters as a scalar subquery, so that no row carries its words."""
+    at = _place(key)
+    word = F.get(built.scalar(), F.floor(at / 64).cast("int"))
+    return df.withColumn(name, F.call_function("shiftright", word, (at % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)

@@ -1,0 +1,130 @@
+"""Names, scores, selection, judging, files and streams."""
+
+import json
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from siltstone.functions import files, scoring, text
+from siltstone.operators import results, selection
+from siltstone.operators.judge import Busy, Fatal, Judge, TooLarge
+from siltstone.plans.search import Options, search
+from siltstone.sources.extract import evidence, excerpt
+from siltstone.sources.inventory import inventory
+
+
+@pytest.mark.parametrize("question, path, body, shown", [
+    ("cat", "vacation.jpg", "", False), ("cat", "cat.jpg", "", True), ("cat", "cat_care.txt", "", True), ("annual budget", "annualBudgetDraft2024.txt", "", True),
+    ("rental agreement", "agreement.txt", "", False), ("resume", "Résumé_2024.pdf", "", True), ("tax", "tax/readme.txt", "", False),
+    ("rental agreement", "opaque.txt", "a rental agreement here", True), ("rental agreement", "opaque.txt", "a lease agreement here", False),
+    ("rental agreement", "opaque.txt", "rental and other agreement", False),
+])
+def test_visibility(spark, question, path, body, shown):
+    df = spark.createDataFrame([(path, body)], "path string, text string")
+    assert (df.select(scoring.visibility(F.col("path"), F.col("text"), text.Query(question)).alias("v")).first().v.score > 0) == shown
+
+
+def test_words_and_files(spark):
+    df = spark.createDataFrame([("a/CamelCase bar9.TXT",), ("x/.env.local",), ("k/id.key",), ("straße.swift",)], "path string")
+    rows = df.select(text.word_tokens(files.name_of(F.col("path"))).alias("w"), files.kind_of(files.name_of(F.col("path"))).alias("k"), files.sensitive(files.name_of(F.col("path"))).alias("s")).collect()
+    assert rows[0].w == ["camel", "case", "bar", "9", "txt"] and rows[0].k == "document"
+    assert [r.s for r in rows] == [False, True, True, False] and rows[3].w == ["strasse", "swift"] and rows[3].k == "code"
+
+
+def test_quota_selection(spark):
+    rows = [(f"n/a{i:03}.txt", "n", 0.91, 0.0, "") for i in range(200)] + [(f"c{i % 12}/b{i}.txt", f"c{i % 12}", 0.0, 0.86, "x") for i in range(48)] + [(f"p{i % 4}/d{i}.txt", f"p{i % 4}", 0.7, 0.0, "") for i in range(12)]
+    df = spark.createDataFrame(rows, "path string, parent string, name_score double, content_score double, text string")
+    chosen = [r.path for r in selection.select_candidates(df).collect()]
+    assert len(chosen) == len(set(chosen)) == 128
+    assert sum(p.startswith("c") for p in chosen) == 48 and sum(p.startswith("p") for p in chosen) == 12
+
+
+def test_round_robin(spark):
+    df = spark.createDataFrame([("a", k) for k in range(10)] + [("b", 99)], "parent string, seq int")
+    assert [r.parent for r in selection.round_robin(df).limit(2).collect()] == ["a", "b"]
+
+
+def test_late_evidence_is_ignored(spark):
+    rows = [("x", 1, 0.2, 0.0), ("x", 2, None, 0.9), ("y", 1, None, 0.5), ("z", 1, 0.2, 0.0), ("z", 2, 0.9, 0.0)]
+    got = results.merge_evidence(spark.createDataFrame(rows, "path string, seq int, probability double, score double")).collect()
+    assert sorted(r.path for r in got) == ["y", "z"]
+
+
+def test_judge():
+    def ask(records, query):
+        if len(records) > 2:
+            raise TooLarge
+        return [0.9] * len(records), 0.5
+
+    judge = Judge(ask, budget=20)
+    found, phase = judge([{"path": str(i), "text": ""} for i in range(5)], "q")
+    assert len(found) == 5 and phase == "complete" and judge.stats["cost"] > 1
+    bad = Judge(lambda r, q: ([1.5], True))
+    assert bad([{"path": "a"}], "q") == ({}, "partial") and bad.stats["unreported"] == 1
+    calls = []
+
+    def busy(records, query):
+        calls.append(1)
+        raise Busy if len(calls) < 3 else Fatal
+
+    assert Judge(busy)([{"path": "a"}], "q")[1] == "partial" and len(calls) == 3
+    assert Judge(lambda r, q: ([0.1], 0), budget=0)([{"path": "a"}], "q") == ({}, "partial")
+
+
+@pytest.fixture
+def tree(tmp_path):
+    for d in ("node_modules", ".hidden", "Tool.app", "notes"):
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "inside.txt").write_text("inside words")
+    (tmp_path / "loop").symlink_to(tmp_path)
+    (tmp_path / "opaque.txt").write_text("intro " * 150 + "the rental agreement of 2020 " + "end " * 400)
+    with zipfile.ZipFile(tmp_path / "deck.docx", "w") as z:
+        z.writestr("word/document.xml", "<d><p>quarterly numbers</p></d>")
+    (tmp_path / "zeros").write_bytes(b"\0" * 100)
+    (tmp_path / "broken.pdf").write_text("not a PDF")
+    (tmp_path / "credentials.json").write_text("rental agreement")
+    return tmp_path
+
+
+def test_inventory(spark, tree):
+    names = {r.relative for r in inventory(spark, str(tree)).collect()}
+    assert names == {"node_modules", "Tool.app", "notes", "notes/inside.txt", "loop", "opaque.txt", "deck.docx", "zeros", "broken.pdf", "credentials.json"}
+    assert len(inventory(spark, str(tree), include_generated=True).collect()) == 14
+    (tree / "new.txt").write_text("fresh")
+    assert "new.txt" in {r.relative for r in inventory(spark, str(tree)).collect()}
+
+
+def test_evidence(tree):
+    assert evidence(str(tree / "deck.docx"), "numbers") == ("quarterly numbers", "text")
+    assert evidence(str(tree / "zeros"), "x") == ("", "name_only") and evidence(str(tree / "credentials.json"), "x") == ("", "name_only")
+    found = excerpt((tree / "opaque.txt").read_text() + " password=hunter2222", "agreement")
+    assert "rental agreement" in found and "hunter" not in found and len(found) <= 1400
+
+
+def test_modes(spark, tree):
+    hits, phase = search(spark, str(tree), "rental agreement")
+    assert phase == "complete" and [r.relative for r in hits.collect()] == ["opaque.txt"]
+    judge = Judge(lambda r, q: ([0.1] * len(r), 0.01))
+    assert [r.relative for r in search(spark, str(tree), "rental agreement", judge=judge)[0].collect()] == ["opaque.txt"]
+    deep = search(spark, str(tree), "rental agreement", Options(mode="deep"), judge)[0]
+    assert deep.count() == 0
+
+
+def test_streamed_results_equal_batch(spark, tmp_path):
+    from siltstone.streaming.results import Snapshots, json_lines
+
+    for k in range(3):
+        spark.createDataFrame([(f"p{i % 5}", 10 * k + i, 0.1 * (i % 9) if i % 2 else None, 0.5) for i in range(8)], "path string, seq int, probability double, score double").write.parquet(str(tmp_path / f"in/{k}"))
+    lines = []
+    stream = spark.readStream.schema("path string, seq int, probability double, score double").option("maxFilesPerTrigger", 2).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    stream.writeStream.foreachBatch(Snapshots(str(tmp_path / "state"), json_lines(lines.append))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    last = [e for e in map(json.loads, lines) if "hits" in e][-1]["hits"]
+    batch = results.merge_evidence(spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))).collect()
+    assert {h["path"] for h in last} == {r.path for r in batch}
+
+
+def test_entry_imports():
+    import __spark_entry__ as e
+
+    assert set(e.oracle_sql()) <= set(e.queries()) and "bm25_topk" in e.queries()

@@ -20,7 +20,7 @@ from siltstone.llm.batches import documents, map_slices, tokenizer_file
 from siltstone.llm.pieces import chunk_pieces, find_pieces, splits
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-KEPT = 250_000
+KEPT = 500_000
 WORDS_A_QUERY = 40_000
 
 #: Words as lists of ids.  Every round unnests the positions of the words that changed, joins them with the merges and
@@ -104,14 +104,9 @@ class Coder:
         for at in range(0, len(rest), WORDS_A_QUERY):
             part = rest[at : at + WORDS_A_QUERY]
             out = self._query("start", "word", [table[np.frombuffer(raw, np.uint8)] for _, raw in part], ENCODE)
-            for batch in out.select(["ids"]).to_batches():
-                lists = batch.column(0)
-                flat, ends = lists.flatten().to_numpy().astype("<u4").tobytes(), (np.diff(lists.offsets.to_numpy()).cumsum() * 4).tolist()
-                begin = 0
-                for end in ends:
-                    self.pieces[part[0][0]] = flat[begin:end]
-                    del part[0]
-                    begin = end
+            lists = out.column("ids").combine_chunks()
+            flat, ends = lists.flatten().to_numpy().astype("<u4").tobytes(), (np.diff(lists.offsets.to_numpy()).cumsum() * 4).tolist()
+            self.pieces.update({word: flat[a:b] for (word, _), a, b in zip(part, [0, *ends], ends, strict=False)})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each text, its ids as little-endian unsigned 32-bit integers."""
@@ -119,15 +114,17 @@ class Coder:
             self.pieces.clear()
         if len(self.chunks) > self.kept:
             self.chunks.clear()
-        cut, new = [], {}
-        for text in texts:
-            head, *chunks = text.split(" ")
-            fresh = [c for c in set(chunks) if c not in self.chunks]
-            if text and splits(head) and all(map(splits, fresh)):
+        split = [text.split(" ") for text in texts]
+        met: set[str] = set()
+        for parts in split:
+            met.update(parts[1:])
+        met = {c for c in met if c not in self.chunks}
+        bad = {c for c in met if not splits(c)}
+        new = {c: chunk_pieces(c) for c in met - bad}
+        cut = []
+        for text, (head, *chunks) in zip(texts, split):
+            if text and splits(head) and (not bad or bad.isdisjoint(chunks)):
                 cut.append((find_pieces(head), chunks))
-                for chunk in fresh:
-                    if chunk not in new:
-                        new[chunk] = chunk_pieces(chunk)
             else:
                 cut.append((find_pieces(text), []))
         words = {w for ps in new.values() for w in ps}
@@ -143,17 +140,15 @@ class Coder:
         """The bytes behind ids.  The ids are cut before tokens that begin with a blank; each new run is decoded once."""
         if len(self.runs) > self.kept:
             self.runs.clear()
-        of, cut, new = self.runs, [], {}
+        of, cut, met = self.runs, [], set()
         for ids in encoded:
             starts = (np.flatnonzero(self.blank[np.frombuffer(ids, "<u4")]) * 4).tolist()
             if not starts or starts[0]:
                 starts.insert(0, 0)
             runs = [ids[a:b] for a, b in zip(starts, [*starts[1:], len(ids)])] if ids else []
             cut.append(runs)
-            for run in runs:
-                if run not in of:
-                    new[run] = None
-        fresh = list(new)
+            met.update(runs)
+        fresh = [r for r in met if r not in of]
         for at in range(0, len(fresh), WORDS_A_QUERY):
             part = fresh[at : at + WORDS_A_QUERY]
             raw = self._query("runs", "run", [np.frombuffer(r, "<u4") for r in part], DECODE).column("raw").to_pylist()

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.batches import cut
+from siltstone.llm.sieve import marked as sifted
+from siltstone.llm.sieve import sieve
 
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
@@ -74,7 +76,11 @@ def log_ratios(df: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> Dat
 
     ``trusted`` has the ids of trusted documents.  A bucket that nothing fell into has ratio 0 of the smoothed totals.
     """
-    marked = df.join(trusted.select("doc_id").distinct().withColumn("in_target", F.lit(1)), "doc_id", "left")
+    ids = trusted.select("doc_id").where("doc_id is not null").distinct()
+    rows = sifted(df, F.col("doc_id"), sieve(ids, "doc_id"))
+    # Only what may be trusted is shuffled, by a merge join at every size.
+    likely = rows.where("may_match").join(ids.withColumn("in_target", F.lit(1)).hint("merge"), "doc_id", "left").select("text", "in_target")
+    marked = rows.where("not may_match").select("text", F.lit(None).cast("int").alias("in_target")).unionByName(likely)
     marked = marked.select(F.coalesce("in_target", F.lit(0)).alias("t"), words_of(F.col("text")).alias("words"))
     grams = marked.select("t", F.explode(gram_buckets(buckets)).alias("b"))
     counts = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target"))

@@ -3,7 +3,8 @@
 Encoding: each new word's token-position rows join the merge table, and its leftmost pair of minimum rank is
 contracted, again and again until no word has a pair left.  Decoding: the ids' rows join the vocabulary and an ordered
 aggregation puts the bytes together.  Words and runs of ids that were seen before come from tables of bounded size; a
-full table is emptied.  A text is longer than a word, so no query holds more than the new words of one slice.
+full table is emptied.  Words of more than LONG bytes are merged with a heap instead, for a round of SQL a merge would
+be quadratic in their length.  A text is longer than a word, so no query holds more than the new words of one slice.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from siltstone.llm.batches import documents, map_slices, tokenizer_file
-from siltstone.llm.pieces import chunk_pieces, find_pieces, splits
+from siltstone.llm.pieces import LONG, chunk_pieces, find_pieces, merged_by_heap, splits
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 KEPT = 500_000
@@ -76,6 +77,7 @@ class Coder:
         self.runs: dict[bytes, bytes] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         merges = merge_table(ranks)
+        self.pairs = {(a, b): (m, m) for a, b, m in zip(*(merges.column(c).to_pylist() for c in ("lft", "rgt", "merged")))}
         vocabulary = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in ranks])})
         for name, table in (("merges", merges), ("vocabulary", vocabulary)):
             self.db.register("given", table)
@@ -98,6 +100,8 @@ class Coder:
             raw = word.encode()
             if (rank := self.ranks.get(raw)) is not None:
                 self.pieces[word] = rank.to_bytes(4, "little")
+            elif len(raw) > LONG:
+                self.pieces[word] = np.array(merged_by_heap([self.byte[b] for b in raw], self.pairs), "<u4").tobytes()
             else:
                 rest.append((word, raw))
         table = np.array(self.byte, np.int32)

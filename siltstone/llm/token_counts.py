@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from siltstone.llm.batches import documents, map_slices, tokenizer_file
-from siltstone.llm.pieces import byte_chars, chunk_pieces, find_pieces, splits
+from siltstone.llm.pieces import LONG, byte_chars, chunk_pieces, find_pieces, merged_by_heap, splits
 
 VOCABULARY = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
@@ -38,6 +38,8 @@ class Merges:
     def count(self, piece: bytes) -> int:
         """Tokens of one pre-token: its lowest-ranked pair, the leftmost of equals, is joined until none is left."""
         ids, get = [self.byte[b] for b in piece], self.pairs.get
+        if len(ids) > LONG:
+            return len(merged_by_heap(ids, self.pairs))
         found = [get(p) for p in zip(ids, ids[1:])]
         while ranked := [x for x in found if x]:
             best = min(ranked)

@@ -26,6 +26,9 @@ RARITY_BUCKETS = 1 << 19
 #: A word in more than 1 of so many lines (and in more than LEAST_FREQUENT) is frequent; so is a class of equal lines.
 FREQUENT_ONE_IN, LEAST_FREQUENT = 5_000, 300
 HOT_ONE_IN = 1_000
+#: A key with more filings is heavy: each filing is first compared with SALTS early ones, and only what has no match by
+#: then with the rest.  So a group of lines that are all alike costs a comparison a line, not one a pair.
+HEAVY, SALTS = 64, 8
 
 
 def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,17 +65,17 @@ def _rank(count: Column) -> Column:
 
 
 def filing(lines: DataFrame, ranks: DataFrame, total: int) -> DataFrame:
-    """For each key under which a line is filed: key, k1, bits and sizes (the set's size and the position of the key's
+    """For each key under which a line is filed: key, k1, doc, bits and sizes (the set's size and the position of the key's
     first word in the order, in one number).
 
     ``bits`` has a bit set for every word's hash modulo 64: two sets differ in at least as many words as bits."""
     # A subquery's value enters the function that uses it once the projections are merged; no row carries the table.
-    lines = lines.select("k1", "hashes", ranks.scalar().alias("ranks"))
+    lines = lines.select("k1", "doc", "hashes", ranks.scalar().alias("ranks"))
     frequent = _rank(F.lit(max(total // FREQUENT_ONE_IN, LEAST_FREQUENT))).cast("long")
     rank = lambda h: F.get("ranks", F.pmod(h, F.lit(RARITY_BUCKETS)).cast("int")).cast("long")
     order = F.sort_array(F.transform("hashes", lambda h: F.shiftleft(rank(h), 48).bitwiseOR(F.shiftrightunsigned(h, 16))))
     bits = F.aggregate("hashes", F.lit(0).cast("long"), lambda s, h: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
-    out = lines.select("k1", F.size("hashes").alias("n"), order.alias("order"), bits.alias("bits"))
+    out = lines.select("k1", "doc", F.size("hashes").alias("n"), order.alias("order"), bits.alias("bits"))
     # A set of n words shares at least ceil(4 n / 5) words with one that is alike.
     out = out.withColumn("size", F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR).cast("int") + 1)
     out = out.withColumns({"prefix": F.slice("order", 1, F.col("size")), "longer": F.slice("order", 1, F.col("size") + 1)})
@@ -82,22 +85,68 @@ def filing(lines: DataFrame, ranks: DataFrame, total: int) -> DataFrame:
     double = F.flatten(F.transform("prefix", lambda w, i: F.transform(F.filter("longer", lambda v: v > w), lambda v: F.struct(F.xxhash64(w, v).alias("key"), i.alias("at")))))
     out = out.withColumn("alone", F.filter(single, lambda x: x.isNotNull()))
     common = F.when(F.size("alone") < F.size("prefix"), F.filter(double, lambda x: x["at"] >= F.size("alone")))
-    out = out.select("k1", "n", "bits", F.explode_outer(F.concat("alone", F.coalesce(common, F.slice("alone", 1, 0)))).alias("f"))
-    return out.select(F.col("f.key").alias("key"), "k1", "bits", (F.col("n").cast("long") * (1 << 32) + F.col("f.at")).alias("sizes"))
+    out = out.select("k1", "doc", "n", "bits", F.explode_outer(F.concat("alone", F.coalesce(common, F.slice("alone", 1, 0)))).alias("f"))
+    return out.select(F.col("f.key").alias("key"), "k1", "doc", "bits", (F.col("n").cast("long") * (1 << 32) + F.col("f.at")).alias("sizes"))
 
 
-def candidates(filed: DataFrame) -> DataFrame:
-    """a, b: classes (by k1) that share a key and pass the length, positional and bit filters."""
-    filed = filed.repartition("key").distinct()
-    x, y = filed.alias("x"), filed.alias("y")
-    xn, yn = (F.shiftright(F.col(f"{s}.sizes"), 32) for s in "xy")
-    x_at, y_at = (F.col(f"{s}.sizes").bitwiseAND(F.lit((1 << 32) - 1)) for s in "xy")
+def counted(filed: DataFrame) -> DataFrame:
+    """One filing a key and class, with the least doc, and ``filings``, how many the key has."""
+    filed = filed.where("key is not null").repartition("key").groupBy("key", "k1", "bits", "sizes").agg(F.min("doc").alias("doc"))
+    return filed.join(filed.groupBy("key").agg(F.count(F.lit(1)).alias("filings")).hint("merge"), "key")
+
+
+def passes(xs: str, ys: str) -> Column:
+    """The length, positional and bit filters between two filings."""
+    xn, yn = (F.shiftright(F.col(f"{s}.sizes"), 32) for s in (xs, ys))
+    x_at, y_at = (F.col(f"{s}.sizes").bitwiseAND(F.lit((1 << 32) - 1)) for s in (xs, ys))
     same_size = (xn * DENOMINATOR >= yn * NUMERATOR) & (yn * DENOMINATOR >= xn * NUMERATOR)
     # The key's first word and those after it must make up the wanted overlap, 4/9 of both sizes.
     enough = F.least(xn - x_at, yn - y_at) * (NUMERATOR + DENOMINATOR) >= (xn + yn) * NUMERATOR
-    near = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) * (NUMERATOR + DENOMINATOR) <= xn + yn
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.k1") < F.col("y.k1")) & near & same_size & enough)
-    return pairs.select(F.col("x.k1").alias("a"), F.col("y.k1").alias("b")).distinct()
+    near = F.bit_count(F.col(f"{xs}.bits").bitwiseXOR(F.col(f"{ys}.bits"))) * (NUMERATOR + DENOMINATOR) <= xn + yn
+    return near & same_size & enough
+
+
+def _pairs(x: DataFrame, y: DataFrame, also: Column) -> DataFrame:
+    """a, b: classes (by k1) that share a key, pass the filters and meet ``also``."""
+    both = x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & also & passes("x", "y"))
+    return both.select(F.least("x.k1", "y.k1").alias("a"), F.greatest("x.k1", "y.k1").alias("b")).distinct()
+
+
+def light_pairs(filed: DataFrame) -> DataFrame:
+    """All candidates under keys of few filings."""
+    light = filed.where(F.col("filings") <= HEAVY)
+    return _pairs(light, light, F.col("x.k1") < F.col("y.k1"))
+
+
+def first_pairs(heavy: DataFrame) -> DataFrame:
+    """Candidates of each filing with at most SALTS early ones under its key: as many as filings, times SALTS."""
+    early = heavy.groupBy("key", F.pmod("k1", F.lit(SALTS)).alias("salt")).agg(F.min_by(F.struct("k1", "bits", "sizes"), F.struct("doc", "k1")).alias("f")).select("key", "f.*")
+    return _pairs(heavy, early, F.col("x.k1") != F.col("y.k1"))
+
+
+def rest_pairs(heavy: DataFrame, found: DataFrame) -> DataFrame:
+    """Candidates of each filing whose class isn't found yet with all filings that may be earlier."""
+    split = marked(heavy, F.col("k1"), sieve(found, "k1"))
+    maybe = split.where("may_match").drop("may_match").join(found, "k1", "left_anti").select(*heavy.columns)
+    undecided = split.where("not may_match").drop("may_match").unionByName(maybe)
+    return _pairs(undecided, heavy, (F.col("x.k1") != F.col("y.k1")) & (F.col("y.doc") <= F.col("x.doc")))
+
+
+def class_sets(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """k1, pos and words (distinct) of the classes in ``ids``."""
+    pos = F.struct("doc_id", "text_hash", "line_no")
+    sets = marked(lines, F.col("k1"), sieve(ids, "k1")).where("may_match").select("k1", "k2", pos.alias("pos"), "words")
+    sets = sets.groupBy("k1", "k2").agg(F.min("pos").alias("pos"), F.first("words").alias("words")).join(ids, "k1")
+    return sets.select("k1", "pos", F.array_distinct("words").alias("words"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """k1 and pos of the later class of each pair whose sets of words are alike."""
+    a, b = (sets.select(F.col("k1").alias(s), F.col("pos").alias(f"{s}_pos"), F.col("words").alias(f"{s}_words")) for s in "ab")
+    both = pairs.join(a, "a").join(b, "b")
+    overlap = F.size(F.array_intersect("a_words", "b_words"))
+    alike = overlap * (NUMERATOR + DENOMINATOR) >= (F.size("a_words") + F.size("b_words")) * NUMERATOR
+    return both.where(alike).select(F.when(F.col("a_pos") > F.col("b_pos"), F.col("a")).otherwise(F.col("b")).alias("k1"), F.greatest("a_pos", "b_pos").alias("pos"))
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
@@ -115,16 +164,14 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     many = keys.join(hot, ["k1", "k2"], "left_anti").join(cold, ["k1", "k2"])
     equal = one.unionByName(many).where("pos > first").select("pos")
     fresh = lines.select("k1", "k2", "hashes", pos.alias("pos")).join(hot, ["k1", "k2"], "left").where("first is null or pos = first")
-    pairs = cut(candidates(filing(fresh.select("k1", "hashes"), rarity(lines), total)))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
-    sets = marked(lines, F.col("k1"), sieve(ids, "k1")).where("may_match").select("k1", "k2", pos.alias("pos"), "words")
-    sets = sets.groupBy("k1", "k2").agg(F.min("pos").alias("pos"), F.first("words").alias("words")).join(ids, "k1")
-    sets = cut(sets.select("k1", "pos", F.array_distinct("words").alias("words")))
-    a, b = (sets.select(F.col("k1").alias(s), F.col("pos").alias(f"{s}_pos"), F.col("words").alias(f"{s}_words")) for s in "ab")
-    both = pairs.join(a, "a").join(b, "b")
-    overlap = F.size(F.array_intersect("a_words", "b_words"))
-    alike = overlap * (NUMERATOR + DENOMINATOR) >= (F.size("a_words") + F.size("b_words")) * NUMERATOR
-    near = both.where(alike).select(F.greatest("a_pos", "b_pos").alias("pos"))
+    filed = cut(counted(filing(fresh.select("k1", "hashes", F.coalesce("pos.doc_id", F.lit(-(1 << 63))).alias("doc")), rarity(lines), total)))
+    heavy = filed.where(F.col("filings") > HEAVY).drop("filings")
+    few = cut(light_pairs(filed))
+    ids = few.select(F.explode(F.array("a", "b")).alias("k1")).unionByName(heavy.select("k1")).distinct()
+    sets = cut(class_sets(lines, ids))
+    near = cut(verified(few.unionByName(first_pairs(heavy)).distinct(), sets))
+    rest = verified(rest_pairs(heavy, near.select("k1").distinct()), sets)
+    near = near.unionByName(rest).select("pos")
     return equal.unionByName(near).groupBy("pos.doc_id", "pos.text_hash").agg(F.collect_set("pos.line_no").alias("line_nos"))
 
 

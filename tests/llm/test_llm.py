@@ -193,6 +193,27 @@ def test_line_dedup(spark, odd, empty):
     assert lines.dedup_lines(odd).count() == len(ODD) and rows(lines.dedup_lines(empty)) == []
 
 
+def test_line_dedup_under_heavy_keys(spark, monkeypatch):
+    monkeypatch.setattr(lines, "HEAVY", 2)
+    monkeypatch.setattr(lines, "SALTS", 1)
+    import random
+
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(10)]
+    texts = []
+    for _ in range(120):
+        ws = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            ws[rng.randrange(10)] = f"v{rng.randrange(12)}"
+        texts.append(" ".join(ws))
+    docs = [(i, t) for i, t in enumerate(texts)]
+    rng.shuffle(docs)
+    got = {x.doc_id for x in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).where("n_removed = 1").collect()}
+    sets = [frozenset(t.split()) for t in texts]
+    want = {i for i, x in enumerate(sets) if len(texts[i].split()) >= 5 and any(len(x & y) * 5 >= 4 * len(x | y) for y in sets[:i])}
+    assert got == want and 0 < len(want) < len(texts) - 1
+
+
 def test_crf(spark, odd, empty):
     r = random.Random(2)
     good = ["\n".join("The " + " ".join(prose(r.random(), 12)) + "." for _ in range(4)) for _ in range(60)]

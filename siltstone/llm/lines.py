@@ -52,11 +52,11 @@ def class_keys(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"k1": F.xxhash64("hashes"), "k2": F.xxhash64(F.lit(7), "hashes")})
 
 
-def rarity(lines: DataFrame) -> DataFrame:
+def rarity(classes: DataFrame) -> DataFrame:
     """One row, one array: of each bucket of words, the rank of how many lines have them (0 to 32,767, by logarithm)."""
     bucket = F.pmod("h", F.lit(RARITY_BUCKETS)).cast("int")
-    counts = lines.select(F.explode_outer("hashes").alias("h")).groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    every = lines.sparkSession.range(RARITY_BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
+    counts = classes.select("n", F.explode_outer("hashes").alias("h")).groupBy(bucket.alias("b")).agg(F.sum("n").alias("n"))
+    every = classes.sparkSession.range(RARITY_BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
     return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", _rank(F.coalesce("n", F.lit(0))).alias("r")))), lambda x: x["r"]).alias("ranks"))
 
 
@@ -90,9 +90,9 @@ def filing(lines: DataFrame, ranks: DataFrame, total: int) -> DataFrame:
 
 
 def counted(filed: DataFrame) -> DataFrame:
-    """One filing a key and class, with the least doc, and ``filings``, how many the key has."""
-    filed = filed.where("key is not null").repartition("key").groupBy("key", "k1", "bits", "sizes").agg(F.min("doc").alias("doc"))
-    return filed.join(filed.groupBy("key").agg(F.count(F.lit(1)).alias("filings")).hint("merge"), "key")
+    """The filings, dealt by key, with ``filings``, how many the key has."""
+    filed = cut(filed.where("key is not null").repartition("key"))
+    return cut(filed.join(filed.groupBy("key").agg(F.count(F.lit(1)).alias("filings")).hint("merge"), "key"))
 
 
 def passes(xs: str, ys: str) -> Column:
@@ -132,12 +132,10 @@ def rest_pairs(heavy: DataFrame, found: DataFrame) -> DataFrame:
     return _pairs(undecided, heavy, (F.col("x.k1") != F.col("y.k1")) & (F.col("y.doc") <= F.col("x.doc")))
 
 
-def class_sets(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """k1, pos and words (distinct) of the classes in ``ids``."""
-    pos = F.struct("doc_id", "text_hash", "line_no")
-    sets = marked(lines, F.col("k1"), sieve(ids, "k1")).where("may_match").select("k1", "k2", pos.alias("pos"), "words")
-    sets = sets.groupBy("k1", "k2").agg(F.min("pos").alias("pos"), F.first("words").alias("words")).join(ids, "k1")
-    return sets.select("k1", "pos", F.array_distinct("words").alias("words"))
+def class_sets(classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """k1, pos and words of the classes in ``ids``."""
+    likely = marked(classes, F.col("k1"), sieve(ids, "k1")).where("may_match")
+    return likely.join(ids, "k1").select("k1", F.col("first").alias("pos"), "words")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -153,22 +151,24 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash and line_nos (an array) of the lines that match an earlier line; ``docs`` as from ``keyed``."""
     pos = F.struct("doc_id", "text_hash", "line_no")
     lines = class_keys(lines_of(docs))
-    keys = cut(lines.select("k1", "k2", pos.alias("pos")))
-    total = keys.count()
-    classes = cut(keys.groupBy("k1", "k2").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    classes = cut(lines.groupBy("k1", "k2").agg(F.min(pos).alias("first"), F.count(F.lit(1)).alias("n"), F.array_distinct(F.first("words")).alias("words")))
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    several = classes.where("n > 1").select("k1", "k2", "first", "n")
+    keys = cut(marked(lines, F.col("k1"), sieve(several, "k1")).where("may_match").select("k1", "k2", pos.alias("pos")))
     least = max(total // HOT_ONE_IN, 1)
     # No more than HOT_ONE_IN classes have so many lines: they are broadcast, the rest is joined by shuffle.
-    hot = F.broadcast(classes.where(F.col("n") > least).select("k1", "k2", "first"))
-    cold = classes.where(F.col("n") <= least).select("k1", "k2", "first")
+    hot = F.broadcast(several.where(F.col("n") > least).select("k1", "k2", "first"))
+    cold = several.where(F.col("n") <= least).select("k1", "k2", "first")
     one = keys.join(hot, ["k1", "k2"])
     many = keys.join(hot, ["k1", "k2"], "left_anti").join(cold, ["k1", "k2"])
     equal = one.unionByName(many).where("pos > first").select("pos")
-    fresh = lines.select("k1", "k2", "hashes", pos.alias("pos")).join(hot, ["k1", "k2"], "left").where("first is null or pos = first")
-    filed = cut(counted(filing(fresh.select("k1", "hashes", F.coalesce("pos.doc_id", F.lit(-(1 << 63))).alias("doc")), rarity(lines), total)))
+    hashed = classes.select("k1", F.col("first.doc_id").alias("doc"), "n", F.sort_array(F.transform("words", lambda w: F.xxhash64(w))).alias("hashes"))
+    fresh = hashed.select("k1", F.coalesce("doc", F.lit(-(1 << 63))).alias("doc"), "hashes")
+    filed = counted(filing(fresh, rarity(hashed), total))
     heavy = filed.where(F.col("filings") > HEAVY).drop("filings")
     few = cut(light_pairs(filed))
     ids = few.select(F.explode(F.array("a", "b")).alias("k1")).unionByName(heavy.select("k1")).distinct()
-    sets = cut(class_sets(lines, ids))
+    sets = cut(class_sets(classes, ids))
     near = cut(verified(few.unionByName(first_pairs(heavy)).distinct(), sets))
     rest = verified(rest_pairs(heavy, near.select("k1").distinct()), sets)
     near = near.unionByName(rest).select("pos")

@@ -12,7 +12,7 @@ alike share a second word in a prefix longer by one, which is at least as freque
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.batches import cut
@@ -91,8 +91,7 @@ def filing(lines: DataFrame, ranks: DataFrame, total: int) -> DataFrame:
 
 def counted(filed: DataFrame) -> DataFrame:
     """The filings, dealt by key, with ``filings``, how many the key has."""
-    filed = cut(filed.where("key is not null").repartition("key"))
-    return cut(filed.join(filed.groupBy("key").agg(F.count(F.lit(1)).alias("filings")).hint("merge"), "key"))
+    return filed.where("key is not null").repartition("key").withColumn("filings", F.count(F.lit(1)).over(Window.partitionBy("key")))
 
 
 def passes(xs: str, ys: str) -> Column:
@@ -140,7 +139,7 @@ def class_sets(classes: DataFrame, ids: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """k1 and pos of the later class of each pair whose sets of words are alike."""
-    a, b = (sets.select(F.col("k1").alias(s), F.col("pos").alias(f"{s}_pos"), F.col("words").alias(f"{s}_words")) for s in "ab")
+    a, b = (sets.select(F.col("k1").alias(s), F.col("pos").alias(f"{s}_pos"), F.split("words", " ").alias(f"{s}_words")) for s in "ab")
     both = pairs.join(a, "a").join(b, "b")
     overlap = F.size(F.array_intersect("a_words", "b_words"))
     alike = overlap * (NUMERATOR + DENOMINATOR) >= (F.size("a_words") + F.size("b_words")) * NUMERATOR
@@ -151,7 +150,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash and line_nos (an array) of the lines that match an earlier line; ``docs`` as from ``keyed``."""
     pos = F.struct("doc_id", "text_hash", "line_no")
     lines = class_keys(lines_of(docs))
-    classes = cut(lines.groupBy("k1", "k2").agg(F.min(pos).alias("first"), F.count(F.lit(1)).alias("n"), F.array_distinct(F.first("words")).alias("words")))
+    classes = cut(lines.groupBy("k1", "k2").agg(F.min(pos).alias("first"), F.count(F.lit(1)).alias("n"), F.first(F.array_join(F.array_distinct("words"), " ")).alias("words")))
     total = classes.agg(F.sum("n")).first()[0] or 0
     several = classes.where("n > 1").select("k1", "k2", "first", "n")
     keys = cut(marked(lines, F.col("k1"), sieve(several, "k1")).where("may_match").select("k1", "k2", pos.alias("pos")))
@@ -162,11 +161,15 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     one = keys.join(hot, ["k1", "k2"])
     many = keys.join(hot, ["k1", "k2"], "left_anti").join(cold, ["k1", "k2"])
     equal = one.unionByName(many).where("pos > first").select("pos")
-    hashed = classes.select("k1", F.col("first.doc_id").alias("doc"), "n", F.sort_array(F.transform("words", lambda w: F.xxhash64(w))).alias("hashes"))
+    hashed = classes.select("k1", F.col("first.doc_id").alias("doc"), "n", F.sort_array(F.transform(F.split("words", " "), lambda w: F.xxhash64(w))).alias("hashes"))
     fresh = hashed.select("k1", F.coalesce("doc", F.lit(-(1 << 63))).alias("doc"), "hashes")
     filed = counted(filing(fresh, rarity(hashed), total))
-    heavy = filed.where(F.col("filings") > HEAVY).drop("filings")
-    few = cut(light_pairs(filed))
+    # One job, so that the filings are shuffled once: light keys give pairs, heavy keys keep their filings.
+    filings = ("key", "k1", "doc", "bits", "sizes")
+    kept = filed.where(F.col("filings") > HEAVY).select(F.struct(*filings).alias("heavy"))
+    made = cut(light_pairs(filed).unionByName(kept, allowMissingColumns=True))
+    few = made.where("heavy is null").select("a", "b")
+    heavy = made.where("heavy is not null").select("heavy.*")
     ids = few.select(F.explode(F.array("a", "b")).alias("k1")).unionByName(heavy.select("k1")).distinct()
     sets = cut(class_sets(classes, ids))
     near = cut(verified(few.unionByName(first_pairs(heavy)).distinct(), sets))

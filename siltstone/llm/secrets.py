@@ -28,7 +28,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{12,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 HEX_RUN = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{2}){32,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:[0-9A-F]{2}){32,}(?![0-9A-Za-z])")
-BLOCK = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(.{0,65536}?)-----END \1-----", re.DOTALL)
+BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
 SEQUENCE, INTEGER, OCTETS, OID = 0x30, 0x02, 0x04, 0x06
 
 
@@ -154,24 +154,40 @@ def wrapped(raw: bytes | None, depth: int) -> str | None:
     return None
 
 
+def blocks(text: str) -> Iterator[tuple[int, int, str]]:
+    """Start, end and body of each armoured private key of any length; every end line is looked for once."""
+    ends: dict[str, int] = {}
+    for m in BEGIN.finditer(text):
+        close = f"-----END {m[1]}-----"
+        if 0 <= ends.get(m[1], 0) < m.end():
+            ends[m[1]] = text.find(close, m.end())
+        end = ends[m[1]]
+        if end >= 0:
+            again = BEGIN.search(text, m.end(), end)
+            if not again:
+                yield m.start(), end + len(close), text[m.end() : end]
+
+
 def confirmed(text: str, depth: int = 1) -> Iterator[tuple[int, int, str]]:
     """Spans that only decoding confirms.  A block's inner lines are not reported again."""
     taken = []
     if "PRIVATE KEY-----" in text:
-        for m in BLOCK.finditer(text):
-            body = m[2]
+        for start, end, body in blocks(text):
             kind = key_kind(unbase64(body))
             if not kind and "DEK-Info:" in body and (raw := unbase64(body.rpartition("\n\n")[2] or "")) and len(raw) % 8 == 0:
                 kind = "pem"
             if kind:
+                taken.append((start, end))
+                yield start, end, kind
+    # The least lengths that the patterns below ask for.
+    long = [x for x in text.split() if len(x) >= 16]
+    if any("." in x for x in long):
+        for m in TOKEN.finditer(text):
+            if signed_token(m[1], m[2]):
                 taken.append((m.start(), m.end()))
-                yield m.start(), m.end(), kind
-    if not any(len(x) >= 40 for x in text.split()):
+                yield m.start(), m.end(), "jwt"
+    if not any(len(x) >= 40 for x in long):
         return
-    for m in TOKEN.finditer(text):
-        if signed_token(m[1], m[2]):
-            taken.append((m.start(), m.end()))
-            yield m.start(), m.end(), "jwt"
     free = lambda m: all(m.end() <= a or m.start() >= b for a, b in taken)
     for m in HEX_RUN.finditer(text):
         if free(m) and (kind := wrapped(bytes.fromhex(m[0]), depth)):

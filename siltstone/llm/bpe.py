@@ -25,20 +25,19 @@ KEPT = 500_000
 WORDS_A_QUERY = 40_000
 
 #: Words as lists of ids.  Every round unnests the positions of the words that changed, joins them with the merges and
-#: contracts the pair of least rank, the leftmost of equals.  A word's shortest list is its fixpoint.
+#: contracts the pair of least rank, the leftmost of equals (both in one number).  Only a word's last list is kept, which
+#: is its fixpoint in the end.
 ENCODE = """
-WITH RECURSIVE state(word, ids) AS (
+WITH RECURSIVE state(word, ids) USING KEY (word) AS (
   SELECT word, ids FROM start
   UNION ALL
-  (WITH positions AS (SELECT word, ids, unnest(range(1, len(ids))) AS pos FROM state WHERE len(ids) > 1),
-   pairs AS (
-     SELECT p.word, p.ids, p.pos, m.merged FROM positions p JOIN merges m ON m.lft = p.ids[p.pos] AND m.rgt = p.ids[p.pos + 1]),
-   chosen AS (
-     SELECT word, any_value(ids) AS ids, min(merged) AS merged, arg_min(pos, merged::BIGINT * 4294967296 + pos) AS pos
-     FROM pairs GROUP BY word)
-   SELECT word, list_concat(list_append(ids[1:pos - 1], merged), ids[pos + 2:]) FROM chosen)
+  (WITH positions AS (
+     SELECT word, unnest(ids[:-2]) AS lft, unnest(ids[2:]) AS rgt, unnest(range(1, len(ids))) AS pos FROM state WHERE len(ids) > 1),
+   chosen AS (SELECT word, min(merged::BIGINT * 4294967296 + pos) AS pair FROM positions JOIN merges USING (lft, rgt) GROUP BY word),
+   placed AS (SELECT word, ids, pair & 4294967295 AS pos, (pair >> 32)::INTEGER AS merged FROM state JOIN chosen USING (word))
+   SELECT word, list_concat(list_append(ids[1:pos - 1], merged), ids[pos + 2:]) FROM placed)
 )
-SELECT word, arg_min(ids, len(ids)) AS ids FROM state GROUP BY word ORDER BY word
+SELECT word, ids FROM state ORDER BY word
 """
 
 DECODE = """

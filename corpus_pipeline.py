@@ -38,17 +38,20 @@ def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of equal or similar documents the one with the least doc_id stays (of rows that agree in it, one)."""
+    """Of each class of equal or similar documents the row of the least (doc_id, MD5 of the text) stays, a null doc_id
+    last; of rows that agree in both, one.  A class is told by its root: documents that share a doc_id, or have none,
+    are alike only if their texts are."""
     found = ngram_join.similarity_join(docs)
-    several = batches.cut(found.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("class_id"))
-    inside = found.join(several, found["class_id"].eqNullSafe(several["class_id"])).select(found["doc_id"], found["class_id"], found["node"])
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")
+    several = batches.cut(found.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).where("n > 1").select("root", "first"))
+    inside = found.join(several, "root").select("doc_id", "node", "root", order.eqNullSafe(F.col("first")).alias("stays"))
     inside = batches.cut(inside.distinct())
     rows = marked(_rows_with_key(docs), F.col("node"), sieve(inside, "node"))
     alone = rows.where("not may_match").select(*docs.columns)
-    named = inside.select(F.col("doc_id").alias("i"), F.col("node").alias("k"), "class_id", F.lit(True).alias("within"))
+    named = inside.select(F.col("doc_id").alias("i"), F.col("node").alias("k"), "root", "stays")
     rest = rows.where("may_match").join(named, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("node") == F.col("k")), "left")
-    single = rest.where("within is null").select(*docs.columns)
-    best = rest.where("within and doc_id <=> class_id").groupBy("class_id").agg(F.min_by(F.struct(*docs.columns), "node").alias("d"))
+    single = rest.where("stays is null").select(*docs.columns)
+    best = rest.where("stays").groupBy("root").agg(F.min(F.struct(*docs.columns)).alias("d"))
     return alone.unionByName(single).unionByName(best.select("d.*"))
 
 

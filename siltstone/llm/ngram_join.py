@@ -180,7 +180,7 @@ def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def similarity_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id, n_links and n_copies of every document.
+    """doc_id, class_id, n_links, n_copies, node (the text's MD5) and root (the least node of its class) of every document.
 
     class_id is the least doc_id of the documents connected by links or equal texts (null if they have none), n_links
     the number of other texts that share at least four fifths of all five-word shingles with the document's, n_copies
@@ -202,9 +202,9 @@ def similarity_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     per = nodes.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.sum("rows").alias("n_copies"))
     per = per.join(classes, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = per.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    per = cut(per.join(ids, "root").select("node", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies"))
+    per = cut(per.join(ids, "root").select("node", "root", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies"))
     out = nodes.join(per, "node")
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).select("doc_id", "class_id", "n_links", "n_copies", "node")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).select("doc_id", "class_id", "n_links", "n_copies", "node", "root")
 
 
 def verify(docs: DataFrame, edges: DataFrame, block: int = BLOCK) -> DataFrame:

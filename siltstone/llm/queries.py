@@ -37,7 +37,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.ngram_join import similarity_join
 
-    return similarity_join(read(spark, sf_dir, "documents")).drop("node")
+    return similarity_join(read(spark, sf_dir, "documents")).drop("node", "root")
 
 
 def op6_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

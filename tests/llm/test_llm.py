@@ -259,6 +259,17 @@ def test_pipeline(spark, tmp_path):
     assert set(range(80)) <= got and not got & set(range(80, 122))
 
 
+def test_pipeline_keeps_different_documents_without_an_id_or_with_the_same(spark):
+    import corpus_pipeline as pipeline
+
+    texts = [" ".join(prose(i, 40)) for i in range(8)]
+    given = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (7, texts[4].upper()), (8, texts[5]), (None, texts[5]), (8, texts[5]), (9, texts[6]), (None, None), (11, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in given], "doc_id long, text string, lang string, source string, n_chars long")
+    got = pipeline.one_of_each(spark, docs, "").select("doc_id", F.lower("text")).collect()
+    want = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (8, texts[5]), (9, texts[6]), (11, "")]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("name", ["op2_line_dedup", "op4_sharding", "op9_decontaminate"])
 def test_sql_agrees_on_odd_rows(spark, tmp_path, name):
     """The registered SQL gives the rows of the query over odd rows, repeated ones and empty tables too."""

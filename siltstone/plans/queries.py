@@ -98,8 +98,9 @@ def word_tokens_names(spark, sf_dir):
 
 @query(f"SELECT conv_id, turn, array_to_string(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+|\\p{{Nd}}+'), lambda x: NOT list_contains({_list(V.STOP_WORDS)}, x)), ' ') AS terms FROM conversations WHERE regexp_full_match(text, '[\\x00-\\x7F]*') AND NOT regexp_matches(text, '[a-z0-9][A-Z]|[A-Z][A-Z][a-z]')")
 def query_term_filter(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where(F.col("text").rlike(r"^\p{ASCII}*$") & ~F.col("text").rlike("[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"))
-    return c.select("conv_id", "turn", F.array_join(text.without_stop_words(text.word_tokens(F.col("text"))), " ").alias("terms"))
+    """All turns; the SQL, which neither folds accents nor splits camel case, has those where that makes no difference."""
+    terms = text.without_stop_words(text.word_tokens(F.coalesce("text", F.lit(""))))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(terms, " ").alias("terms"))
 
 
 _KIND = "CASE " + " ".join(f"WHEN list_contains({_list(e)}, ltrim(ext, '.')) THEN '{k}'" for k, e in V.KINDS.items()) + " ELSE 'other' END"
@@ -159,14 +160,10 @@ _PLAIN = "regexp_full_match(text, '[\\x00-\\x7F]*') AND NOT regexp_matches(text,
 _TEXT_TOKENS = NAME_TOKENS.replace("name", "text")
 
 
-def _plain(spark, sf_dir):
-    d = documents(spark, sf_dir)
-    return d.where(F.col("text").rlike(r"^\p{ASCII}*$") & ~F.col("text").rlike("[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"))
-
-
 @query(f"SELECT doc_id, round(CASE WHEN m > 0 THEN 0.48::DOUBLE + 0.38::DOUBLE * m / {len(LOCAL.groups)} ELSE 0.0::DOUBLE END, 6) AS score FROM (SELECT doc_id, {_sql_groups(LOCAL, _TEXT_TOKENS)} AS m FROM documents WHERE {_PLAIN})")
 def content_score(spark, sf_dir):
-    return _plain(spark, sf_dir).select("doc_id", F.round(scoring.content_score(F.col("text"), LOCAL), 6).alias("score"))
+    """All documents; the SQL has those that are plain."""
+    return documents(spark, sf_dir).select("doc_id", F.round(scoring.content_score(F.col("text"), LOCAL), 6).alias("score"))
 
 
 _KEPT = f"' ' || array_to_string(list_filter({_TEXT_TOKENS}, lambda x: NOT list_contains({_list(V.STOP_WORDS)}, x)), ' ') || ' '"
@@ -174,8 +171,9 @@ _KEPT = f"' ' || array_to_string(list_filter({_TEXT_TOKENS}, lambda x: NOT list_
 
 @query(f"SELECT doc_id, CASE WHEN contains({_KEPT}, ' {LOCAL.phrase} ') THEN 0.86::DOUBLE ELSE 0.0::DOUBLE END AS score, CASE WHEN contains({_KEPT}, ' {LOCAL.phrase} ') THEN 'content' ELSE 'semantic' END AS source FROM documents WHERE {_PLAIN}")
 def local_visibility(spark, sf_dir):
+    """All documents; the SQL has those that are plain."""
     v = scoring.visibility(F.col("path"), F.col("text"), LOCAL)
-    return _plain(spark, sf_dir).select("doc_id", v.alias("v")).select("doc_id", "v.score", "v.source")
+    return documents(spark, sf_dir).select("doc_id", v.alias("v")).select("doc_id", "v.score", "v.source")
 
 
 _DESKTOP_TOKENS = "t AS (SELECT path, text, doc_id, regexp_extract_all(lower(path), '[\\p{L}\\p{N}\\p{Co}]+') || regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{Co}]+') AS tok FROM d)"

@@ -32,6 +32,30 @@ def test_words_and_files(spark):
     assert [r.s for r in rows] == [False, True, True, False] and rows[3].w == ["strasse", "swift"] and rows[3].k == "code"
 
 
+def test_text_queries_take_all_rows(spark, tmp_path):
+    """Accents, camel case, other scripts and null texts count; where the SQL has a row, it is the query's."""
+    import duckdb
+
+    from siltstone.plans import queries
+
+    terms = {"theBest Résumé": "best resume", "thé bèst": "best", "XMLParser über": "xml parser uber", "Straße 漢字": "strasse 漢字", "The plain best one": "plain best one", "nothing": "nothing", "": "", None: ""}
+    spark.createDataFrame([(i, t, "s", "en") for i, t in enumerate(terms)], "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 0, t) for i, t in enumerate(terms)], "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    best = [0.86 if "best" in w.split() else 0.0 for w in terms.values()]
+    want = {
+        "query_term_filter": {(i, 0, w) for i, w in enumerate(terms.values())}, "content_score": set(enumerate(best)),
+        "local_visibility": {(i, b, "content" if b else "semantic") for i, b in enumerate(best)},
+    }
+    db = duckdb.connect()
+    for table in ("documents", "conversations"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    for name, rows in want.items():
+        got = [tuple(r) for r in queries.queries()[name](spark, str(tmp_path)).collect()]
+        assert len(got) == len(terms) and set(got) == rows, name
+        plain = db.execute(queries.oracle_sql()[name]).fetchall()
+        assert 0 < len(plain) < len(got) and set(plain) <= rows, name
+
+
 def test_quota_selection(spark):
     rows = [(f"n/a{i:03}.txt", "n", 0.91, 0.0, "") for i in range(200)] + [(f"c{i % 12}/b{i}.txt", f"c{i % 12}", 0.0, 0.86, "x") for i in range(48)] + [(f"p{i % 4}/d{i}.txt", f"p{i % 4}", 0.7, 0.0, "") for i in range(12)]
     df = spark.createDataFrame(rows, "path string, parent string, name_score double, content_score double, text string")

@@ -32,7 +32,7 @@ def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes lines that match an earlier one.  A document of which nothing is left but white space goes, if it had
     something; n_chars follows the text."""
     own = docs.withColumns({"had": F.coalesce("text", F.lit("")).rlike(r"\S"), "text_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
-    found = lines.duplicate_lines(lines.keyed(docs))
+    found = lines.duplicate_lines(lines.keyed(docs), least_words=1)
     out = lines.removed(own, found).where("not had or text rlike '\\\\S'")
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 

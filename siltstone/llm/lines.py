@@ -1,6 +1,6 @@
 """Line dedup as an exact set-similarity join, in DataFrame functions only.
 
-A line is the set of its words, which blanks separate.  Equal sets are classes, found by aggregation.  Between classes: the words of a line are
+A line is the set of its words, which white space of any kind separates.  Equal sets are classes, found by aggregation.  Between classes: the words of a line are
 ordered by rarity, a line is filed under the words of its prefix, lines that share a key and pass the length and
 positional filters (and one of 64 bits over all words) are candidates, and the candidates' full word sets decide.  A line that matches an earlier one is
 removed.
@@ -20,8 +20,10 @@ from siltstone.llm.sieve import marked, sieve
 
 #: Similarity as a fraction: with o words in common, (4 + 5) o >= 4 (m + n).
 NUMERATOR, DENOMINATOR = 4, 5
-#: Lines with fewer words are left alone.
+#: Lines with fewer words are left alone by default and by the registered SQL; the query and the pipeline ask for 1.
 LEAST_WORDS = 5
+#: Sets of fewer words are alike only if they are equal, so they are not filed.
+LEAST_FILED = 4
 RARITY_BUCKETS = 1 << 19
 #: A word in more than 1 of so many lines (and in more than LEAST_FREQUENT) is frequent; so is a class of equal lines.
 FREQUENT_ONE_IN, LEAST_FREQUENT = 5_000, 300
@@ -37,13 +39,13 @@ def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
+def lines_of(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, text_hash, line_no (these three give the order of lines), words and hashes (sorted, of the distinct words)
     of the lines that take part.
 
     The words are made inside the generator, which gives them once; a filter on a later column would split anew."""
-    words = F.transform(F.split("text", "\n"), lambda x: F.array_remove(F.split(x, " "), ""))
-    out = docs.select("doc_id", "text_hash", F.posexplode_outer(words).alias("line_no", "words")).where(F.size("words") >= LEAST_WORDS)
+    words = F.transform(F.split("text", "\n"), lambda x: F.array_remove(F.split(x, r"(?U)\s+"), ""))
+    out = docs.select("doc_id", "text_hash", F.posexplode_outer(words).alias("line_no", "words")).where(F.size("words") >= least_words)
     return out.withColumn("hashes", F.sort_array(F.array_distinct(F.transform("words", lambda w: F.xxhash64(w)))))
 
 
@@ -146,10 +148,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(alike).select(F.when(F.col("a_pos") > F.col("b_pos"), F.col("a")).otherwise(F.col("b")).alias("k1"), F.greatest("a_pos", "b_pos").alias("pos"))
 
 
-def duplicate_lines(docs: DataFrame) -> DataFrame:
+def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, text_hash and line_nos (an array) of the lines that match an earlier line; ``docs`` as from ``keyed``."""
     pos = F.struct("doc_id", "text_hash", "line_no")
-    lines = class_keys(lines_of(docs))
+    lines = class_keys(lines_of(docs, least_words))
     classes = cut(lines.groupBy("k1", "k2").agg(F.min(pos).alias("first"), F.count(F.lit(1)).alias("n"), F.first(F.array_join(F.array_distinct("words"), " ")).alias("words")))
     total = classes.agg(F.sum("n")).first()[0] or 0
     several = classes.where("n > 1").select("k1", "k2", "first", "n")
@@ -161,7 +163,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     one = keys.join(hot, ["k1", "k2"])
     many = keys.join(hot, ["k1", "k2"], "left_anti").join(cold, ["k1", "k2"])
     equal = one.unionByName(many).where("pos > first").select("pos")
-    hashed = classes.select("k1", F.col("first.doc_id").alias("doc"), "n", F.sort_array(F.transform(F.split("words", " "), lambda w: F.xxhash64(w))).alias("hashes"))
+    hashed = classes.select("k1", F.col("first.doc_id").alias("doc"), "n", F.sort_array(F.transform(F.split("words", " "), lambda w: F.xxhash64(w))).alias("hashes")).where(F.size("hashes") >= LEAST_FILED)
     fresh = hashed.select("k1", F.coalesce("doc", F.lit(-(1 << 63))).alias("doc"), "hashes")
     filed = counted(filing(fresh, rarity(hashed), total))
     # One job, so that the filings are shuffled once: light keys give pairs, heavy keys keep their filings.
@@ -178,16 +180,16 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     return equal.unionByName(near).groupBy("pos.doc_id", "pos.text_hash").agg(F.collect_set("pos.line_no").alias("line_nos"))
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, text (without the lines that match an earlier one), n_lines and n_removed of every document.
 
     The order of lines is by doc_id (null first), then a hash of the text, then line number.  A line is removed if its
     set of words has Jaccard similarity of 0.8 or more with that of any earlier line, removed or not, in the same or
-    another document.  Lines of fewer than five words stay.  A null text counts as empty.  Rows that agree in doc_id and
+    another document.  Lines of fewer than ``least_words`` words stay.  A null text counts as empty.  Rows that agree in doc_id and
     text are one document with respect to this and give equal rows.  Other columns are not read.
     """
     docs = keyed(df, id_col, text_col)
-    return removed(docs, duplicate_lines(docs)).select("doc_id", "text", "n_lines", "n_removed")
+    return removed(docs, duplicate_lines(docs, least_words)).select("doc_id", "text", "n_lines", "n_removed")
 
 
 def removed(docs: DataFrame, found: DataFrame) -> DataFrame:

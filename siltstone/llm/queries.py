@@ -19,7 +19,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.lines import dedup_lines
 
-    return dedup_lines(read(spark, sf_dir, "documents"))
+    return dedup_lines(read(spark, sf_dir, "documents"), least_words=1)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

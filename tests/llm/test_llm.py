@@ -197,6 +197,35 @@ def test_line_dedup(spark, odd, empty):
     assert lines.dedup_lines(odd).count() == len(ODD) and rows(lines.dedup_lines(empty)) == []
 
 
+def test_line_dedup_takes_short_lines_and_all_white_space(spark, tmp_path):
+    """The query and the pipeline's stage: short lines are removed too, and any white space separates words."""
+    import corpus_pipeline as pipeline
+
+    from siltstone.llm import queries
+
+    url = "https://example.org/" + "x" * 200
+    texts = [
+        "All rights reserved.\n\nMenu\na b c d e\nf\tg\th\ti\tj\u3000k\n漢字漢字漢字", f"reserved.  All rights\n\nMenu\r\na b c d\nf g h i j k\nnew\n{url}", f"{url}\nMenu Menu\n漢字漢字漢字\na b c\n \t\n \t",
+        "b c a\na c d\nMenu extra\nf\u00a0g h i j k l",
+    ]
+    r = random.Random(5)
+    texts += ["\n".join(" ".join(w for w in prose(r.randrange(15), r.randrange(1, 9), 40) if r.random() > 0.05) for _ in range(8)) for _ in range(60)]
+    seen, want = [], {}
+    for i, t in enumerate(texts):
+        kept = []
+        for x in t.split("\n"):
+            s = set(x.split())
+            if not s or not any(9 * len(s & o) >= 4 * (len(s) + len(o)) for o in seen):
+                kept.append(x)
+            seen.append(s)
+        want[i] = "\n".join(kept)
+    assert want[1] == f"\nnew\n{url}" and want[2] == "a b c\n \t\n \t" and want[3] == "a c d\nMenu extra"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {x.doc_id: x.text for x in queries.op2_line_dedup(spark, str(tmp_path)).collect()} == want
+    assert {x.doc_id: x.text for x in pipeline.new_lines(spark, docs, "").collect()} == {i: t for i, t in want.items() if t.strip() or not texts[i].strip()}
+
+
 def test_line_dedup_under_heavy_keys(spark, monkeypatch):
     monkeypatch.setattr(lines, "HEAVY", 2)
     monkeypatch.setattr(lines, "SALTS", 1)

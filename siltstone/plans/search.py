@@ -12,7 +12,7 @@ from siltstone.functions.text import Query, ranked_tokens
 from siltstone.functions.vocabulary import BATCH, JUDGED, RESULTS, THRESHOLD
 from siltstone.operators import bm25
 from siltstone.operators.judge import Judge
-from siltstone.sources.extract import evidence
+from siltstone.sources.extract import evidence, whole_counts
 from siltstone.sources.inventory import inventory
 
 
@@ -36,18 +36,34 @@ def with_evidence(records: DataFrame, query: Query, read_contents: bool) -> Data
     return records.withColumn("e", read("path", "kind")).select("*", "e.text", "e.coverage").drop("e")
 
 
+def with_whole_counts(records: DataFrame, query: Query) -> DataFrame:
+    """Adds whole: length and counts over all of a text file, made on the executors; null for what isn't one."""
+
+    @F.udf("len long, tf array<long>", useArrow=False)
+    def count(path):
+        return whole_counts(path, query.ranked)
+
+    return records.withColumn("whole", F.when((F.col("kind") != "folder") & files.is_text(F.col("name")), count("path")))
+
+
 def local_hits(spark: SparkSession, root: str, question: str, options: Options = Options()) -> DataFrame:
     """What is found without a judge, best first, at most RESULTS: path, relative, kind, score, source, coverage, text.
 
     ``streaming`` ranks by BM25 over paths and contents, full name matches first; secret files vanish before any count.
+    Text files are counted whole, what else can be read (PDF, Office) by its excerpt.
     ``fast`` and ``deep`` show name matches, and contents that have the very phrase."""
     query = Query(question)
     records = inventory(spark, root, options.include_generated)
     rel = F.col("relative")
     if options.mode == "streaming":
         records = with_evidence(records.where(~files.sensitive(F.col("name"))), query, options.read_contents)
-        tokens = F.concat(ranked_tokens(rel), ranked_tokens(F.coalesce("text", F.lit(""))))
+        records = with_whole_counts(records, query) if options.read_contents else records.withColumn("whole", F.lit(None).cast("struct<len:long,tf:array<long>>"))
+        excerpts = F.when(F.col("whole").isNull(), F.coalesce("text", F.lit(""))).otherwise("")
+        tokens = F.concat(ranked_tokens(rel), ranked_tokens(excerpts))
         counts = bm25.term_counts(records.withColumn("body", F.col("text")), query.ranked, "body", tokens)
+        tf = F.when(F.col("whole").isNull(), F.col("tf")).otherwise(F.zip_with("tf", "whole.tf", lambda x, y: x + y))
+        coverage = F.when((F.col("whole.len") > 0) & (F.col("coverage") == "name_only"), "text").otherwise(F.col("coverage"))
+        counts = counts.withColumns({"len": F.col("len") + F.coalesce("whole.len", F.lit(0)), "tf": tf, "coverage": coverage}).drop("whole")
         n = len(query.ranked)
         named = counts.crossJoin(F.broadcast(bm25.statistics(counts, n))).withColumn("name_score", scoring.name_score(rel, query))
         kept = named.where((F.exists("tf", lambda x: x > 0)) | (F.col("name_score") >= 0.91))

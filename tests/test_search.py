@@ -135,6 +135,35 @@ def test_modes(spark, tree):
     assert deep.count() == 0
 
 
+def test_streaming_counts_whole_texts(spark, tmp_path):
+    import math
+
+    from siltstone.plans.search import local_hits
+    from siltstone.sources.extract import whole_counts
+
+    folder = tmp_path / "all"
+    folder.mkdir()
+    words = ["filler"] * 9000
+    words[2500:2500] = ["Needle"] * 3
+    texts = {"long.txt": " ".join(words), "short.md": "a needle here", "none.py": "x_y = 'nothing'\nü漢字 \ue000"}
+    for name, t in texts.items():
+        (folder / name).write_text(t)
+    assert "needle" not in evidence(str(folder / "long.txt"), "needle")[0].lower()
+    for chunk in (1, 7, 1 << 20):
+        assert whole_counts(str(folder / "long.txt"), ["needle", "filler"], chunk) == (9003, [3, 9000])
+        assert whole_counts(str(folder / "none.py"), ["x"], chunk) == (5, [1])
+    lengths, tf = [9003 + 2, 3 + 2, 5 + 2], [3, 1, 0]
+    average, idf = sum(lengths) / 3, 1e-6  # two of three texts have it
+    want = {n: round(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * k / average)), 6) for n, f, k in zip(texts, tf, lengths) if f}
+    got = {r.relative: r.score for r in local_hits(spark, str(folder), "needle").collect()}
+    assert set(got) == set(want) and all(math.isclose(got[n], want[n], abs_tol=1e-6) for n in want)
+    # A rarer word: one text of three.
+    got = local_hits(spark, str(folder), "filler").collect()
+    idf = math.log((3 - 1 + 0.5) / 1.5)
+    assert [(r.relative, r.coverage) for r in got] == [("long.txt", "text")] and math.isclose(got[0].score, idf * 9000 * 2.2 / (9000 + 1.2 * (0.25 + 0.75 * 9005 / average)), abs_tol=1e-5)
+    assert local_hits(spark, str(folder), "needle", Options(read_contents=False)).count() == 0
+
+
 def test_streamed_results_equal_batch(spark, tmp_path):
     from siltstone.streaming.results import Snapshots, json_lines
 

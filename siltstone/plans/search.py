@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from siltstone.functions import files, scoring
 from siltstone.functions.text import Query, ranked_tokens
 from siltstone.functions.vocabulary import BATCH, JUDGED, RESULTS, THRESHOLD
-from siltstone.operators import bm25
+from siltstone.operators import bm25, selection
 from siltstone.operators.judge import Judge
 from siltstone.sources.extract import evidence, whole_counts
 from siltstone.sources.inventory import inventory
 
+SHOWN = ("path", "relative", "kind", "score", "source", "coverage", "text")
+
 
 @dataclass(frozen=True)
 class Options:
@@ -69,26 +71,52 @@ def local_hits(spark: SparkSession, root: str, question: str, options: Options =
         kept = named.where((F.exists("tf", lambda x: x > 0)) | (F.col("name_score") >= 0.91))
         priority = F.when(F.col("name_score") == 1, 0).when(F.col("name_score") >= 0.91, 1).otherwise(2)
         out = kept.withColumns({"score": F.round(bm25.score(n), 6), "priority": priority, "source": F.when(F.col("name_score") >= 0.45, "name").otherwise("content")})
-        return out.orderBy("priority", F.desc("score"), "relative").limit(RESULTS).select("path", "relative", "kind", "score", "source", "coverage", "text")
+        return out.orderBy("priority", F.desc("score"), "relative").limit(RESULTS).select(*SHOWN)
+    out = evaluated(records, query, options).where("score > 0")
+    return out.select(*SHOWN).orderBy(F.desc("score"), files.depth(rel), "relative").limit(RESULTS)
+
+
+def evaluated(records: DataFrame, query: Query, options: Options) -> DataFrame:
+    """Every record with text, coverage, and the score and source by which it is shown without a judge (0 if it isn't)."""
     secret = files.sensitive(F.col("name"))
     seen = with_evidence(records.where(~secret), query, options.read_contents)
     hidden = records.where(secret).withColumns({"text": F.lit(""), "coverage": F.lit("protected")})
-    out = seen.unionByName(hidden).withColumn("v", scoring.visibility(rel, F.col("text"), query))
-    out = out.select("path", "relative", "kind", "v.score", "v.source", "coverage", "text").where("score > 0")
-    return out.orderBy(F.desc("score"), files.depth(rel), "relative").limit(RESULTS)
+    out = seen.unionByName(hidden).withColumn("v", scoring.visibility(F.col("relative"), F.col("text"), query))
+    return out.select("*", "v.score", "v.source").drop("v")
+
+
+def candidates(every: DataFrame, query: Query, options: Options) -> list[dict]:
+    """What is judged, in order.  ``deep``: all but secret files, best names first, then shallower and newer ones.
+    ``fast``: at most ``candidate_limit`` by the quotas of the routes, some of them without any match."""
+    open_ = every.where("coverage != 'protected'")
+    rel = F.col("relative")
+    if options.mode == "deep":
+        order = [F.desc(scoring.name_score(rel, query)), files.depth(rel), F.desc("modified"), rel]
+        return [r.asDict() for r in open_.orderBy(*order).select(*SHOWN).collect()]
+    scored = open_.select(rel.alias("path"), files.parent(rel).alias("parent"), scoring.alias_score(rel, query).alias("name_score"), scoring.content_score(F.col("text"), query).alias("content_score"), "text")
+    chosen = [r["path"] for r in selection.select_candidates(scored, options.candidate_limit).collect()]
+    rows = {r["relative"]: r.asDict() for r in open_.where(rel.isin(chosen)).select(*SHOWN).collect()}
+    return [rows[path] for path in chosen if path in rows]
 
 
 def search(spark: SparkSession, root: str, question: str, options: Options = Options(), judge: Judge | None = None) -> tuple[DataFrame, str]:
-    """Hits in result order and the phase.  With a judge, the first ``candidate_limit`` hits are judged in batches (a
-    bounded set, on the driver, so that the budget is one); in ``streaming`` mode verdicts only reorder."""
+    """Hits in result order, at most RESULTS, and the phase.  With a judge (on the driver, so that the budget is one),
+    ``deep`` has every record judged that isn't secret and ``fast`` a choice by routes, whether or not they are hits;
+    ``streaming`` the first ``candidate_limit`` hits, where verdicts only reorder."""
     if not question.strip():
         raise ValueError("the query is empty")
-    hits = local_hits(spark, root, question, options)
     if judge is None:
-        return hits.withColumn("probability", F.lit(None).cast("double")), "complete"
-    first = [r.asDict() for r in hits.where("coverage != 'protected'").limit(options.candidate_limit).collect()]
+        return local_hits(spark, root, question, options).withColumn("probability", F.lit(None).cast("double")), "complete"
+    if options.mode == "streaming":
+        every = local_hits(spark, root, question, options)
+        first = [r.asDict() for r in every.where("coverage != 'protected'").limit(options.candidate_limit).collect()]
+        floor = 0.0
+    else:
+        every = evaluated(inventory(spark, root, options.include_generated), Query(question), options)
+        first = candidates(every, Query(question), options)
+        floor = options.threshold
     found, phase = judge(first, question, options.batch_size)
     verdicts = spark.createDataFrame(list(found.items()), "path string, probability double")
-    floor = 0.0 if options.mode == "streaming" else options.threshold
-    merged = hits.join(F.broadcast(verdicts), "path", "left").where(F.col("probability").isNull() | (F.col("probability") >= floor))
-    return merged.orderBy(F.desc(F.col("probability").isNotNull()), F.desc(F.coalesce("probability", "score")), "relative"), phase
+    shown = (F.col("probability") >= floor) | (F.col("probability").isNull() & (F.lit(options.mode == "streaming") | (F.col("score") > 0)))
+    merged = every.select(*SHOWN).join(verdicts, "path", "left").where(shown)
+    return merged.orderBy(F.desc(F.col("probability").isNotNull()), F.desc(F.coalesce("probability", "score")), "relative").limit(RESULTS), phase

@@ -135,6 +135,28 @@ def test_modes(spark, tree):
     assert deep.count() == 0
 
 
+def test_judged_candidates_need_no_local_hit(spark, tmp_path):
+    """Deep judges all but secret files, whatever the limit; fast chooses by routes, with some that match nothing."""
+    folder = tmp_path / "all"
+    folder.mkdir()
+    for i in range(150):
+        (folder / f"rental agreement {i}.txt").write_text("x")
+    (folder / "lease.txt").write_text("the flat is let for a year")
+    (folder / "agreement.txt").write_text("y")
+    (folder / "credentials.json").write_text("rental agreement")
+    judge = lambda asked: Judge(lambda r, q: (asked.extend(x["relative"] for x in r), ([0.9 if x["relative"] == "lease.txt" else 0.1 for x in r], 0.01))[1])
+    asked = []
+    hits, phase = search(spark, str(folder), "rental agreement", Options(mode="deep", candidate_limit=2), judge(asked))
+    assert phase == "complete" and len(asked) == len(set(asked)) == 152 and "credentials.json" not in asked
+    assert asked[-1] == "lease.txt" and asked[-2] == "agreement.txt"
+    assert [(r.relative, r.probability) for r in hits.collect()] == [("lease.txt", 0.9)]
+    asked = []
+    hits, phase = search(spark, str(folder), "rental agreement", Options(mode="fast"), judge(asked))
+    shown = [r.relative for r in hits.collect()]
+    assert phase == "complete" and len(asked) == len(set(asked)) == 128 and "lease.txt" in asked and shown[0] == "lease.txt"
+    assert set(shown[1:]) == {f"rental agreement {i}.txt" for i in range(150)} - set(asked)
+
+
 def test_streaming_counts_whole_texts(spark, tmp_path):
     import math
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import binascii
 import hashlib
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -26,8 +27,16 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{12,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
-HEX_RUN = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{2}){32,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:[0-9A-F]{2}){32,}(?![0-9A-Za-z])")
+#: Where a run may begin: after anything outside the alphabet, and after the letter of an escaped line break.
+START = r"(?:(?<=\\[nr])|(?<=\\)(?![nr])|(?<![A-Za-z0-9+/_\\-]))"
+RUN = re.compile(START + r"[A-Za-z0-9+/_-]{40,}={0,2}")
+HEX_RUN = re.compile(r"(?:(?<=\\[nr])|(?<![0-9A-Za-z]))(?:0[xX])?((?:[0-9a-f]{2}){32,}|(?:[0-9A-F]{2}){32,})(?![0-9A-Za-z])")
+#: A line break, escaped ones too, with the blanks around it.
+BREAK = re.compile(r"[ \t]*(?:(?:\\+r)?(?:\\+n)?(?:\r\n|\n|\r)|\\+r\\+n|\\+n|\\+r)[ \t]*")
+CHAIN = re.compile(START + r"[A-Za-z0-9+/_-]{16,}(?:" + BREAK.pattern + r"[A-Za-z0-9+/_-]+)+={0,2}")
+ESCAPED = re.compile(r"\\+[rnt]|\r")
+#: Where one string literal ends and the next, which continues it, begins.
+LITERALS = re.compile(r"""["'][ \t]*[+,\\]?\s*["']""")
 BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
 SEQUENCE, INTEGER, OCTETS, OID = 0x30, 0x02, 0x04, 0x06
 
@@ -146,11 +155,7 @@ def wrapped(raw: bytes | None, depth: int) -> str | None:
     if raw is None or (kind := key_kind(raw)):
         return kind if raw is not None else None
     if depth and len(raw) >= 40:
-        try:
-            inner = raw.decode("ascii")
-        except UnicodeDecodeError:
-            return None
-        return next((k for _, _, k in confirmed(inner, depth - 1)), None)
+        return next((k for _, _, k in confirmed(raw.decode("latin-1"), depth - 1)), None)
     return None
 
 
@@ -168,14 +173,73 @@ def blocks(text: str) -> Iterator[tuple[int, int, str]]:
                 yield m.start(), end + len(close), text[m.end() : end]
 
 
+def armoured(body: str) -> str | None:
+    """The kind of an armoured block's body, which may stand in string literals with escaped line breaks."""
+    body = LITERALS.sub("", ESCAPED.sub("\n", body.replace("\r\n", "\n").replace("\\r\\n", "\n")))
+    kind = key_kind(unbase64(body))
+    if not kind and "DEK-Info:" in body and (raw := unbase64(body.rpartition("\n\n")[2] or "")) and len(raw) % 8 == 0:
+        kind = "pem"
+    return kind
+
+
+def der_size(head: bytes) -> int:
+    """Bytes of the DER sequence that begins so; 0 if none does."""
+    if len(head) < 6 or head[0] != SEQUENCE:
+        return 0
+    width = head[1] & 0x7F if head[1] & 0x80 else 0
+    return 2 + width + (int.from_bytes(head[2 : 2 + width], "big") if width else head[1]) if width <= 4 else 0
+
+
+def decoded(run: str) -> Iterator[bytes]:
+    digits = run[2:] if run[:2] in ("0x", "0X") else run
+    if len(digits) % 2 == 0 and (re.fullmatch("[0-9a-f]+", digits) or re.fullmatch("[0-9A-F]+", digits)):
+        yield bytes.fromhex(digits)
+    if (raw := unbase64(run)) is not None:
+        yield raw
+
+
+def joins(units: list[str]) -> Iterator[tuple[int, int]]:
+    """First and last of neighbouring lines that may be one encoding: as many as the size of a DER sequence asks for, and
+    lines of one length with a shorter last one, or first one.  A few a line, so that long chains cost in proportion."""
+    sizes = [len(u.rstrip("=")) for u in units]
+    ends = [0, *itertools.accumulate(sizes)]
+    at = {end: k for k, end in enumerate(ends)}
+    for i, u in enumerate(units):
+        for head, chars in ((u[:8], lambda n: -(-n * 4 // 3)), (u[:12], lambda n: 2 * n), (u[2:14] if u[:2] in ("0x", "0X") else "", lambda n: 2 * n + 2)):
+            for raw in decoded(head):
+                if (size := der_size(raw)) and (j := at.get(ends[i] + chars(size), 0) - 1) > i:
+                    yield i, j
+    k = 0
+    while k < len(units):
+        e = k
+        while e + 1 < len(units) and sizes[e + 1] == sizes[k]:
+            e += 1
+        lasts = [e + 1, e] if e + 1 < len(units) and sizes[e + 1] < sizes[k] else [e]
+        yield from ((first, last) for first in (k, k - 1) for last in lasts if 0 <= first < last)
+        k = e + 1
+
+
+def chained(text: str, depth: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+    """Spans of encodings wrapped over lines, outside of those taken, which grow."""
+    for m in CHAIN.finditer(text):
+        breaks = [b.span() for b in BREAK.finditer(text, m.start(), m.end())]
+        spans = list(zip([m.start(), *(b for _, b in breaks)], [*(a for a, _ in breaks), m.end()]))
+        units = [text[a:b] for a, b in spans]
+        for i, j in joins(units):
+            a, b = spans[i][0], spans[j][1]
+            if b - a < 40 or any(a < y and x < b for x, y in taken):
+                continue
+            if kind := next((k for raw in decoded("".join(units[i : j + 1])) if (k := wrapped(raw, depth))), None):
+                taken.append((a, b))
+                yield a, b, kind
+
+
 def confirmed(text: str, depth: int = 1) -> Iterator[tuple[int, int, str]]:
     """Spans that only decoding confirms.  A block's inner lines are not reported again."""
     taken = []
     if "PRIVATE KEY-----" in text:
         for start, end, body in blocks(text):
-            kind = key_kind(unbase64(body))
-            if not kind and "DEK-Info:" in body and (raw := unbase64(body.rpartition("\n\n")[2] or "")) and len(raw) % 8 == 0:
-                kind = "pem"
+            kind = armoured(body)
             if kind:
                 taken.append((start, end))
                 yield start, end, kind
@@ -186,16 +250,18 @@ def confirmed(text: str, depth: int = 1) -> Iterator[tuple[int, int, str]]:
             if signed_token(m[1], m[2]):
                 taken.append((m.start(), m.end()))
                 yield m.start(), m.end(), "jwt"
-    if not any(len(x) >= 40 for x in long):
+    if not any(len(x) >= 40 for x in long) and len(long) < 2:
         return
-    free = lambda m: all(m.end() <= a or m.start() >= b for a, b in taken)
+    free = lambda a, b: all(b <= x or a >= y for x, y in taken)
     for m in HEX_RUN.finditer(text):
-        if free(m) and (kind := wrapped(bytes.fromhex(m[0]), depth)):
-            taken.append((m.start(), m.end()))
-            yield m.start(), m.end(), kind
+        if free(*m.span(1)) and (kind := wrapped(bytes.fromhex(m[1]), depth)):
+            taken.append(m.span(1))
+            yield *m.span(1), kind
     for m in RUN.finditer(text):
-        if free(m) and (kind := wrapped(unbase64(m[0]), depth)):
-            yield m.start(), m.end(), kind
+        if free(*m.span()) and (kind := wrapped(unbase64(m[0]), depth)):
+            taken.append(m.span())
+            yield *m.span(), kind
+    yield from chained(text, depth, taken)
 
 
 def listed(spans: list[tuple[int, int, str]]) -> str:

@@ -92,6 +92,38 @@ def test_secrets(spark, odd, empty):
     assert secrets.find_secrets(odd).count() == len(ODD) and rows(secrets.find_secrets(empty)) == []
 
 
+def test_secrets_wrapped_escaped_and_prefixed():
+    """Encodings over several lines, in string literals, with 0x, and armour within bytes that are not ASCII."""
+    import textwrap
+
+    r = random.Random(4)
+    number = lambda n: der(2, b"\1" + r.randbytes(n))
+    rsa = der(0x30, der(2, b"\0") + b"".join(number(100) for _ in range(8)))
+    lengths = lambda *parts: b"".join(len(p).to_bytes(4, "big") + p for p in parts)
+    ssh = b"openssh-key-v1\0" + lengths(b"none", b"none", b"") + (1).to_bytes(4, "big") + lengths(r.randbytes(51), r.randbytes(200))
+    for raw, kind in ((rsa, "der"), (ssh, "openssh")):
+        coded = base64.b64encode(raw).decode()
+        for body in (coded, coded.rstrip("="), raw.hex(), raw.hex().upper()):
+            for width in (32, 64, 76):
+                for gap in ("\n", "\r\n", "\n    ", "\\n", "\\r\\n", "\\n\n"):
+                    text = "Key: " + gap.join(textwrap.wrap(body, width))
+                    for after in ("", "\n\nwords", "\nThanks for all", "\\n\"}"):
+                        assert list(secrets.confirmed(text + after)) == [(5, len(text), kind)], (kind, width, gap, after)
+        assert list(secrets.confirmed(f"k = 0x{raw.hex()};")) == [(6, 6 + 2 * len(raw), kind)]
+        assert [k for _, _, k in secrets.confirmed("k = 0x" + "\n".join(textwrap.wrap(raw.hex(), 64)))] == [kind]
+        assert [k for _, _, k in secrets.confirmed(f'"a\\n{coded}\\n"')] == [kind]
+        pem = "-----BEGIN RSA PRIVATE KEY-----\n" + base64.encodebytes(raw).decode() + "-----END RSA PRIVATE KEY-----"
+        for text in (json.dumps({"k": pem}), json.dumps(json.dumps({"k": pem})), pem.replace("\n", "\r\n"), " +\n".join(json.dumps(x) for x in pem.splitlines(True))):
+            assert [k for _, _, k in secrets.confirmed(text)] == [kind], text
+        assert [k for _, _, k in secrets.confirmed(base64.b64encode(b"\xff\x00\xe9" + pem.encode() + b"\xfe").decode())] == [kind]
+    broken = base64.b64encode(rsa[:-1] + b"xy").decode()
+    assert not list(secrets.confirmed("\n".join(textwrap.wrap(broken, 64)))) and not list(secrets.confirmed("\n".join(["A" * 64] * 2000)))
+    two = "\n".join(textwrap.wrap(base64.b64encode(rsa).decode(), 64))
+    assert [k for _, _, k in secrets.confirmed(two + "\n\n" + two)] == ["der", "der"]
+    dek = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n" + base64.encodebytes(bytes(64)).decode() + "-----END RSA PRIVATE KEY-----"
+    assert all([k for _, _, k in secrets.confirmed(t)] == ["pem"] for t in (dek, json.dumps(dek), dek.replace("\n", "\r\n")))
+
+
 def test_sharding(odd, empty):
     got = sharding.shard_documents(odd).collect()
     counts = collections.Counter(r.shard for r in got)

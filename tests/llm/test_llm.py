@@ -306,6 +306,23 @@ def test_quotes(spark):
     assert [(r.turn) for r in got if r.conv_id == 1] == [0, 1, 2, 3, 4]
 
 
+def test_quotes_of_parts(spark):
+    """One sentence, some lines, trimmed, re-wrapped and joined quotes; parts of two messages are no quote of one."""
+    said = "The first point is that ships sail. The second, a longer one, is about the wind and\nthe tide in the harbour. Boats too.\nA last line of this.\n漢字仮名交じり文です"
+    other = "Birds fly over the quay at noon. Who knows?"
+    quotes_ = {
+        "> The second, a longer one, is about the wind and the tide in the harbour.": 0, "> is about the wind": 0, "> The first point is that ships sail.\n> A last line of this.": 0,
+        "> The second, a longer one,\n> is about\n> the wind and the\n> tide in the HARBOUR": 0, "> The first point ... in the harbour. [...] Boats": 0, "> ships sail. Boats too.": 0, "> ships": 0, "> 仮名交じり": 0,
+        "> over the quay\n>\n> Who knows": 1, "> birds fly over\n> ships sail": None, "> the harbour in the tide": None, "> wind sail": None, "> ---": None, "> only later": None,
+    }
+    messages = [(1, 0, "u", said), (1, 1, "u", other), *((1, 2 + i, "u", q + f"\nr{i}") for i, q in enumerate(quotes_)), (1, 90, "u", "only later"), (2, 5, "u", "> ships"), (None, 0, "u", said), (None, 1, "u", "> ships")]
+    got = {(r.conv_id, r.turn): r for r in quotes.reply_ordered(spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")).collect()}
+    for i, (q, source) in enumerate(quotes_.items()):
+        r = got[1, 2 + i]
+        assert (r.parent_turn, r.depth, r.text) == (source, int(source is not None), f"r{i}"), q
+    assert got[2, 5].parent_turn is None and got[None, 1].parent_turn is None and len(got) == len(messages)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as pipeline
 

@@ -66,8 +66,9 @@ def term_freq(spark, sf_dir):
 
 @query(f"WITH {TOKENS} SELECT w AS word, count(*) AS df FROM (SELECT unnest(list_distinct(tok)) AS w FROM t) GROUP BY w HAVING count(*) > 1")
 def doc_freq(spark, sf_dir):
+    """All words; the SQL leaves out those of one document only."""
     d = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(text.ranked_tokens(F.col("text")))).alias("word"))
-    return d.groupBy("word").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    return d.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
 
 
 @query(f"WITH {STATS} SELECT round({_IDF(0)}, 6) AS idf0, round({_IDF(1)}, 6) AS idf1, round({_IDF(2)}, 6) AS idf2 FROM s")

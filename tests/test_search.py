@@ -56,6 +56,13 @@ def test_text_queries_take_all_rows(spark, tmp_path):
         assert 0 < len(plain) < len(got) and set(plain) <= rows, name
 
 
+def test_document_frequency_has_rare_words(spark, tmp_path):
+    from siltstone.plans import queries
+
+    spark.createDataFrame([(1, "one two two"), (2, "two three"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {tuple(r) for r in queries.queries()["doc_freq"](spark, str(tmp_path)).collect()} == {("one", 1), ("two", 2), ("three", 1)}
+
+
 def test_quota_selection(spark):
     rows = [(f"n/a{i:03}.txt", "n", 0.91, 0.0, "") for i in range(200)] + [(f"c{i % 12}/b{i}.txt", f"c{i % 12}", 0.0, 0.86, "x") for i in range(48)] + [(f"p{i % 4}/d{i}.txt", f"p{i % 4}", 0.7, 0.0, "") for i in range(12)]
     df = spark.createDataFrame(rows, "path string, parent string, name_score double, content_score double, text string")

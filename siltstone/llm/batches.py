@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -76,3 +77,32 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder, without lineage: they survive lost executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+#: Shuffle files of a finished write are of no more use, since the table that it made is read instead.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, read again: they survive lost executors, and the shuffles that made them
+    are deleted at once.  ``dropped`` deletes the table."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables made by ``written`` that no later step reads."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table._written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,36 +1,46 @@
 """Line dedup as an exact set-similarity join, in DataFrame functions only.
 
-A line is the set of its words, which white space of any kind separates.  Equal sets are classes, found by aggregation.  Between classes: the words of a line are
-ordered by rarity, a line is filed under the words of its prefix, lines that share a key and pass the length and
-positional filters (and one of 64 bits over all words) are candidates, and the candidates' full word sets decide.  A line that matches an earlier one is
-removed.
-
-Rarity is a count over all lines in a fixed number of hash buckets, so the order is a table of fixed size; ties are
-broken by hash, and any one order gives the same pairs.  A word that is frequent gives no key of its own: sets that are
-alike share a second word in a prefix longer by one, which is at least as frequent, so that pairs of words are the keys.
+A line is the set of its words, which white space of any kind separates.  Equal sets are classes, found by aggregation.
+Between classes: the words of a line are ordered by rarity, a line is filed under the words of its prefix, lines that
+share a key and pass the length and positional filters (and one of 64 bits over all words) are candidates, and the
+candidates' full word sets decide.  A line that matches an earlier one is removed.
+
+Texts are cut into words three times and never shuffled for it: to count words, to prepare a narrow row for each line
+(its keys, not its words), and to fetch the words of candidates.  Rarity is a count of all words in a fixed number of
+hash buckets, so the order is a table of fixed size; ties are broken by hash, and any one order gives the same pairs.
+
+A frequent word gives no key of its own.  Sets that are alike and share no rare word of their prefixes share B + 1
+frequent words in prefixes that are longer by B, so that of B buckets of words one has two of them: pairs of words of
+one bucket are the keys.  B grows with the set, and the number of pairs so only in proportion to it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.batches import cut
+from siltstone.llm.batches import dropped, written
 from siltstone.llm.sieve import marked, sieve
 
 #: Similarity as a fraction: with o words in common, (4 + 5) o >= 4 (m + n).
 NUMERATOR, DENOMINATOR = 4, 5
-#: Lines with fewer words are left alone by default and by the registered SQL; the query and the pipeline ask for 1.
+#: Lines with fewer words are left alone by default; the query and the pipeline ask for 1.
 LEAST_WORDS = 5
 #: Sets of fewer words are alike only if they are equal, so they are not filed.
 LEAST_FILED = 4
-RARITY_BUCKETS = 1 << 19
-#: A word in more than 1 of so many lines (and in more than LEAST_FREQUENT) is frequent; so is a class of equal lines.
-FREQUENT_ONE_IN, LEAST_FREQUENT = 5_000, 300
+#: Buckets of words, eight to a number of the table of ranks; a rank is 4 times the logarithm of the bucket's count.
+RARITY_BUCKETS, RANKS_A_BIT = 1 << 22, 4
+#: A word whose bucket has more occurrences is frequent.
+FREQUENT = 512
+#: A class of more than one in so many lines is hot: it is broadcast, and there are no more of them than this.
 HOT_ONE_IN = 1_000
 #: A key with more filings is heavy: each filing is first compared with SALTS early ones, and only what has no match by
 #: then with the rest.  So a group of lines that are all alike costs a comparison a line, not one a pair.
 HEAVY, SALTS = 64, 8
+#: White space but the line feed.
+BLANKS = r"[\t\x0B\f\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+FILING = ("key", "k1", "bits", "sizes")
 
 
 def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -39,61 +49,131 @@ def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
 
-def lines_of(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, text_hash, line_no (these three give the order of lines), words and hashes (sorted, of the distinct words)
-    of the lines that take part.
+def _shift(name: str, x: Column, by: Column) -> Column:
+    return F.call_function(name, x, by.cast("int"))
 
-    The words are made inside the generator, which gives them once; a filter on a later column would split anew."""
-    words = F.transform(F.split("text", "\n"), lambda x: F.array_remove(F.split(x, r"(?U)\s+"), ""))
-    out = docs.select("doc_id", "text_hash", F.posexplode_outer(words).alias("line_no", "words")).where(F.size("words") >= least_words)
-    return out.withColumn("hashes", F.sort_array(F.array_distinct(F.transform("words", lambda w: F.xxhash64(w)))))
+
+def _words_by_line(text: Column) -> Column:
+    """Of each line an array of its words."""
+    return F.transform(F.split(F.regexp_replace(text, BLANKS, " "), "\n"), lambda x: F.array_remove(F.split(x, " "), ""))
+
+
+def _hashes(words: Column) -> Column:
+    return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
+
+
+def _bucket(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(RARITY_BUCKETS - 1))
+
+
+def _rank(count: int) -> int:
+    """The rank of a bucket with ``count`` words, as ``rarity`` has it."""
+    import math
+
+    return math.floor(math.log2(count) * RANKS_A_BIT)
 
 
-def class_keys(lines: DataFrame) -> DataFrame:
-    """Adds k1 and k2: two 64-bit hashes of the set of words."""
-    return lines.withColumns({"k1": F.xxhash64("hashes"), "k2": F.xxhash64(F.lit(7), "hashes")})
+def rarity(docs: DataFrame) -> DataFrame:
+    """One row, one array: the ranks of all buckets, eight to a number; ranks go to 127, by the logarithm of the count."""
+    word = F.explode(F.split(F.regexp_replace(F.regexp_replace("text", BLANKS, " "), "\n", " "), " "))
+    counts = docs.select(word.alias("w")).where("w != ''").groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    rank = F.least(F.floor(F.log2("n") * RANKS_A_BIT), F.lit(127)).cast("long")
+    eight = counts.groupBy(F.shiftright("b", 3).cast("int").alias("at")).agg(F.bit_or(_shift("shiftleft", rank, F.col("b").bitwiseAND(F.lit(7)) * 8)).alias("r"))
+    every = docs.sparkSession.range(RARITY_BUCKETS // 8).select(F.col("id").cast("int").alias("at")).join(eight, "at", "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("r", F.lit(0).cast("long")).alias("r")))), lambda x: x["r"]).alias("ranks"))
 
 
-def rarity(classes: DataFrame) -> DataFrame:
-    """One row, one array: of each bucket of words, the rank of how many lines have them (0 to 32,767, by logarithm)."""
-    bucket = F.pmod("h", F.lit(RARITY_BUCKETS)).cast("int")
-    counts = classes.select("n", F.explode_outer("hashes").alias("h")).groupBy(bucket.alias("b")).agg(F.sum("n").alias("n"))
-    every = classes.sparkSession.range(RARITY_BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
-    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", _rank(F.coalesce("n", F.lit(0))).alias("r")))), lambda x: x["r"]).alias("ranks"))
+def _prefix(n: Column) -> Column:
+    """A set of n words shares at least ceil(4 n / 5) words with one that is alike."""
+    return F.col(n) - F.ceil(F.col(n) * NUMERATOR / DENOMINATOR).cast("int") + 1 if isinstance(n, str) else n - F.ceil(n * NUMERATOR / DENOMINATOR).cast("int") + 1
 
 
-def _rank(count: Column) -> Column:
-    return F.least(F.floor(F.log2(count + F.lit(1)) * 700), F.lit(32_767)).cast("int")
+def _parts(n: Column) -> Column:
+    """B of a set of n words: the power of two up to n / 8."""
+    return _shift("shiftleft", F.lit(1), F.floor(F.log2(F.greatest(F.lit(1), F.floor(n / 8)))))
 
 
-def filing(lines: DataFrame, ranks: DataFrame, total: int) -> DataFrame:
-    """For each key under which a line is filed: key, k1, doc, bits and sizes (the set's size and the position of the key's
-    first word in the order, in one number).
+def prepared(docs: DataFrame, ranks: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """A row for each line that takes part: doc_id, text_hash, line_no (these give the order of lines), k1 and k2 (two
+    hashes of the set of words), n, bits (one set for every word's hash modulo 64: two sets differ in at least as many
+    words as bits), rare (the rare words of the prefix) and frequent (the words after them up to the end of the longer
+    prefix, if the prefix has any).  Words are numbers that sort by rarity.
 
-    ``bits`` has a bit set for every word's hash modulo 64: two sets differ in at least as many words as bits."""
+    The words are made inside the generator, which gives them once; a filter on a later column would split anew."""
+    lines = F.filter(F.transform(_words_by_line(F.col("text")), lambda ws, i: F.struct(i.alias("line_no"), F.size(ws).alias("words"), _hashes(ws).alias("hashes"))), lambda x: x["words"] >= least_words)
+    out = docs.select("doc_id", "text_hash", F.explode(lines).alias("l")).select("doc_id", "text_hash", "l.line_no", "l.hashes", ranks.scalar().alias("ranks"))
     # A subquery's value enters the function that uses it once the projections are merged; no row carries the table.
-    lines = lines.select("k1", "doc", "hashes", ranks.scalar().alias("ranks"))
-    frequent = _rank(F.lit(max(total // FREQUENT_ONE_IN, LEAST_FREQUENT))).cast("long")
-    rank = lambda h: F.get("ranks", F.pmod(h, F.lit(RARITY_BUCKETS)).cast("int")).cast("long")
-    order = F.sort_array(F.transform("hashes", lambda h: F.shiftleft(rank(h), 48).bitwiseOR(F.shiftrightunsigned(h, 16))))
-    bits = F.aggregate("hashes", F.lit(0).cast("long"), lambda s, h: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
-    out = lines.select("k1", "doc", F.size("hashes").alias("n"), order.alias("order"), bits.alias("bits"))
-    # A set of n words shares at least ceil(4 n / 5) words with one that is alike.
-    out = out.withColumn("size", F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR).cast("int") + 1)
-    out = out.withColumns({"prefix": F.slice("order", 1, F.col("size")), "longer": F.slice("order", 1, F.col("size") + 1)})
-    rare = lambda w: F.shiftrightunsigned(w, 48) <= frequent
-    single = F.transform("prefix", lambda w, i: F.when(rare(w), F.struct(w.alias("key"), i.alias("at"))))
-    # Sets of one word share no second one; they are alike only if they are equal.
-    double = F.flatten(F.transform("prefix", lambda w, i: F.transform(F.filter("longer", lambda v: v > w), lambda v: F.struct(F.xxhash64(w, v).alias("key"), i.alias("at")))))
-    out = out.withColumn("alone", F.filter(single, lambda x: x.isNotNull()))
-    common = F.when(F.size("alone") < F.size("prefix"), F.filter(double, lambda x: x["at"] >= F.size("alone")))
-    out = out.select("k1", "doc", "n", "bits", F.explode_outer(F.concat("alone", F.coalesce(common, F.slice("alone", 1, 0)))).alias("f"))
-    return out.select(F.col("f.key").alias("key"), "k1", "doc", "bits", (F.col("n").cast("long") * (1 << 32) + F.col("f.at")).alias("sizes"))
-
-
-def counted(filed: DataFrame) -> DataFrame:
-    """The filings, dealt by key, with ``filings``, how many the key has."""
-    return filed.where("key is not null").repartition("key").withColumn("filings", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    rank = lambda h: _shift("shiftright", F.get("ranks", F.shiftright(_bucket(h), 3).cast("int")), h.bitwiseAND(F.lit(7)) * 8).bitwiseAND(F.lit(127).cast("long"))
+    order = F.sort_array(F.transform("hashes", lambda h: F.shiftleft(rank(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
+    bits = F.aggregate("hashes", F.lit(0).cast("long"), lambda s, h: s.bitwiseOR(_shift("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)))))
+    out = out.select("doc_id", "text_hash", "line_no", F.xxhash64("hashes").alias("k1"), F.xxhash64(F.lit(7), "hashes").alias("k2"), F.size("hashes").alias("n"), bits.alias("bits"), order.alias("order"))
+    size = _prefix("n")
+    out = out.withColumn("order", F.when(F.col("n") >= LEAST_FILED, F.slice("order", 1, size + _parts(F.col("n")))))
+    out = out.withColumn("rare", F.filter(F.slice("order", 1, size), lambda w: w < F.lit((_rank(FREQUENT) + 1) << 56)))
+    frequent = F.when(F.size("rare") < size, F.slice("order", F.size("rare") + 1, F.size("order")))
+    return out.withColumn("frequent", frequent).drop("order")
+
+
+def repeats(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines of classes of several (as ``prepared``, but first, whether a line is its class's first), and a sieve of
+    those classes."""
+    pos = F.struct("doc_id", "text_hash", "line_no")
+    several = written(lines.groupBy("k1", "k2").agg(F.min(pos).alias("first_pos"), F.count(F.lit(1)).alias("members")).where("members > 1"))
+    total = lines.count()
+    passed = written(sieve(several, "k1"))
+    mine = marked(lines, F.col("k1"), passed).where("may_match").drop("may_match")
+    least = max(total // HOT_ONE_IN, 1)
+    # No more than HOT_ONE_IN classes have so many lines: they are broadcast, the rest is joined by shuffle.
+    hot = F.broadcast(several.where(F.col("members") > least))
+    cold = several.where(F.col("members") <= least)
+    one = mine.join(hot, ["k1", "k2"])
+    many = mine.join(F.broadcast(several.where(F.col("members") > least).select("k1", "k2")), ["k1", "k2"], "left_anti").join(cold, ["k1", "k2"], "left")
+    both = one.unionByName(many)
+    first = F.col("first_pos").isNull() | (pos == F.col("first_pos"))
+    both = both.withColumn("first", first)
+    slim = [F.when(F.col("first"), F.col(c)).alias(c) for c in ("rare", "frequent")]
+    out = written(both.select("doc_id", "text_hash", "line_no", "k1", "k2", "n", "bits", *slim, "first"))
+    dropped(several)
+    return out, passed
+
+
+def classes_of(lines: DataFrame, repeated: DataFrame, passed: DataFrame) -> DataFrame:
+    """One row a class: its first line."""
+    alone = marked(lines, F.col("k1"), passed).where("not may_match").drop("may_match", "k2")
+    firsts = repeated.where("first").drop("first").dropDuplicates(["k1", "k2"]).drop("k2")
+    return alone.unionByName(firsts).where(F.col("n") >= LEAST_FILED)
+
+
+def filings(classes: DataFrame) -> DataFrame:
+    """For each key under which a class is filed: key, k1, bits, sizes (the set's size and the position of the key's first
+    word in the order, in one number), doc and maybe_heavy, false if the key can't have many filings."""
+    doc = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    sizes = lambda at: F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(at.cast("long")).alias("sizes")
+    single = classes.select("k1", "bits", "n", doc.alias("doc"), F.posexplode("rare").alias("at", "key"))
+    single = single.select("key", "k1", "bits", sizes(F.col("at")), "doc", (F.col("key") >= F.lit(_rank(HEAVY) << 56)).alias("maybe_heavy"))
+    some = classes.where("frequent is not null").select("k1", "bits", "n", doc.alias("doc"), F.size("rare").alias("r"), "frequent")
+    least = F.ceil(F.col("n") * NUMERATOR / DENOMINATOR)
+    # The partner's size decides on B; for all sizes that may be the lesser of the two, B has at most two values.
+    some = some.select("*", F.explode(F.array_distinct(F.array(_parts(least), _parts(F.col("n"))))).alias("parts"))
+    words = F.slice("frequent", 1, _prefix("n") + F.col("parts") - F.col("r"))
+    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(F.pmod(F.xxhash64(w), F.col("parts")).alias("b"), w.alias("w"), i.alias("i"))))
+    some = some.withColumn("placed", placed)
+    start = F.struct(F.lit(-1).cast("long").alias("b"), F.lit(0).alias("run"), F.lit(1).alias("most"))
+
+    def follow(s: Column, x: Column) -> Column:
+        run = F.when(s["b"] == x["b"], s["run"] + 1).otherwise(F.lit(1))
+        return F.struct(x["b"].alias("b"), run.alias("run"), F.greatest(s["most"], run).alias("most"))
+
+    some = some.withColumn("most", F.aggregate("placed", start, follow, lambda s: s["most"]))
+    # Words of a bucket at a distance of 1, 2, ... in the list sorted by bucket.  Up to B - 1 shared words may come before
+    # the first of a pair, and the position says so.
+    at = lambda x: F.greatest(F.col("r") + x["i"] - F.col("parts") + 1, F.lit(0))
+    other = lambda i, d: F.get("placed", i + d)
+    apart = lambda d: F.transform("placed", lambda x, i: F.when(other(i, d)["b"] == x["b"], F.struct(F.xxhash64("parts", x["w"], other(i, d)["w"]).alias("key"), at(x).alias("at"))))
+    pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.col("most") - 1, F.lit(1))), lambda d: F.filter(apart(d), lambda p: p.isNotNull())))
+    double = some.select("k1", "bits", "n", "doc", F.explode(pairs).alias("f"))
+    double = double.select("f.key", "k1", "bits", sizes(F.col("f.at")), "doc", F.lit(True).alias("maybe_heavy"))
+    return single.unionByName(double)
 
 
 def passes(xs: str, ys: str) -> Column:
@@ -107,15 +187,17 @@ def passes(xs: str, ys: str) -> Column:
     return near & same_size & enough
 
 
-def _pairs(x: DataFrame, y: DataFrame, also: Column) -> DataFrame:
+def _pairs(x: DataFrame, y: DataFrame, also: Column, on: tuple[str, ...] = ("key",)) -> DataFrame:
     """a, b: classes (by k1) that share a key, pass the filters and meet ``also``."""
-    both = x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & also & passes("x", "y"))
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in on]
+    for c in same[1:]:
+        also = also & c
+    both = x.alias("x").join(y.alias("y"), same[0] & also & passes("x", "y"))
     return both.select(F.least("x.k1", "y.k1").alias("a"), F.greatest("x.k1", "y.k1").alias("b")).distinct()
 
 
-def light_pairs(filed: DataFrame) -> DataFrame:
+def light_pairs(light: DataFrame) -> DataFrame:
     """All candidates under keys of few filings."""
-    light = filed.where(F.col("filings") <= HEAVY)
     return _pairs(light, light, F.col("x.k1") < F.col("y.k1"))
 
 
@@ -125,59 +207,69 @@ def first_pairs(heavy: DataFrame) -> DataFrame:
     return _pairs(heavy, early, F.col("x.k1") != F.col("y.k1"))
 
 
+def _band(n: Column) -> Column:
+    """Sizes by powers of 5/4: sets that are alike are in the same band or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(DENOMINATOR / NUMERATOR)) + F.lit(1e-9)).cast("int")
+
+
 def rest_pairs(heavy: DataFrame, found: DataFrame) -> DataFrame:
-    """Candidates of each filing whose class isn't found yet with all filings that may be earlier."""
+    """Candidates of each filing whose class isn't found yet with all filings that may be earlier, by bands of sizes."""
     split = marked(heavy, F.col("k1"), sieve(found, "k1"))
     maybe = split.where("may_match").drop("may_match").join(found, "k1", "left_anti").select(*heavy.columns)
     undecided = split.where("not may_match").drop("may_match").unionByName(maybe)
-    return _pairs(undecided, heavy, (F.col("x.k1") != F.col("y.k1")) & (F.col("y.doc") <= F.col("x.doc")))
+    band = _band(F.shiftright("sizes", 32))
+    near = undecided.withColumn("band", F.explode(F.array(band - 1, band, band + 1)))
+    return _pairs(near, heavy.withColumn("band", band), (F.col("x.k1") != F.col("y.k1")) & (F.col("y.doc") <= F.col("x.doc")), ("key", "band"))
 
 
-def class_sets(classes: DataFrame, ids: DataFrame) -> DataFrame:
-    """k1, pos and words of the classes in ``ids``."""
-    likely = marked(classes, F.col("k1"), sieve(ids, "k1")).where("may_match")
-    return likely.join(ids, "k1").select("k1", F.col("first").alias("pos"), "words")
+def class_sets(docs: DataFrame, ids: DataFrame, least_words: int) -> DataFrame:
+    """k1, pos and words of the classes in ``ids``, from their first lines."""
+    lines = F.filter(F.transform(_words_by_line(F.col("text")), lambda ws, i: F.struct(i.alias("line_no"), F.size(ws).alias("n"), F.array_distinct(ws).alias("words"), F.xxhash64(_hashes(ws)).alias("k1"))), lambda x: x["n"] >= least_words)
+    lines = docs.select("doc_id", "text_hash", F.explode(lines).alias("l")).select("doc_id", "text_hash", "l.line_no", "l.words", "l.k1")
+    at = ("k1", "doc_id", "text_hash", "line_no")
+    likely = marked(lines, F.col("k1"), written(sieve(ids, "k1"))).where("may_match").groupBy(*at).agg(F.first("words").alias("words"))
+    same = F.lit(True)
+    for c in at:
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"i.{c}"))
+    return likely.alias("l").join(ids.alias("i"), same).select("l.k1", F.struct("l.doc_id", "l.text_hash", "l.line_no").alias("pos"), "l.words")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """k1 and pos of the later class of each pair whose sets of words are alike."""
-    a, b = (sets.select(F.col("k1").alias(s), F.col("pos").alias(f"{s}_pos"), F.split("words", " ").alias(f"{s}_words")) for s in "ab")
+    a, b = (sets.select(F.col("k1").alias(s), F.col("pos").alias(f"{s}_pos"), F.col("words").alias(f"{s}_words")) for s in "ab")
     both = pairs.join(a, "a").join(b, "b")
     overlap = F.size(F.array_intersect("a_words", "b_words"))
     alike = overlap * (NUMERATOR + DENOMINATOR) >= (F.size("a_words") + F.size("b_words")) * NUMERATOR
-    return both.where(alike).select(F.when(F.col("a_pos") > F.col("b_pos"), F.col("a")).otherwise(F.col("b")).alias("k1"), F.greatest("a_pos", "b_pos").alias("pos"))
+    later = F.col("a_pos") > F.col("b_pos")
+    return both.where(alike).select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("k1"), F.when(later, F.col("a_pos")).otherwise(F.col("b_pos")).alias("pos"))
 
 
 def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, text_hash and line_nos (an array) of the lines that match an earlier line; ``docs`` as from ``keyed``."""
-    pos = F.struct("doc_id", "text_hash", "line_no")
-    lines = class_keys(lines_of(docs, least_words))
-    classes = cut(lines.groupBy("k1", "k2").agg(F.min(pos).alias("first"), F.count(F.lit(1)).alias("n"), F.first(F.array_join(F.array_distinct("words"), " ")).alias("words")))
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    several = classes.where("n > 1").select("k1", "k2", "first", "n")
-    keys = cut(marked(lines, F.col("k1"), sieve(several, "k1")).where("may_match").select("k1", "k2", pos.alias("pos")))
-    least = max(total // HOT_ONE_IN, 1)
-    # No more than HOT_ONE_IN classes have so many lines: they are broadcast, the rest is joined by shuffle.
-    hot = F.broadcast(several.where(F.col("n") > least).select("k1", "k2", "first"))
-    cold = several.where(F.col("n") <= least).select("k1", "k2", "first")
-    one = keys.join(hot, ["k1", "k2"])
-    many = keys.join(hot, ["k1", "k2"], "left_anti").join(cold, ["k1", "k2"])
-    equal = one.unionByName(many).where("pos > first").select("pos")
-    hashed = classes.select("k1", F.col("first.doc_id").alias("doc"), "n", F.sort_array(F.transform(F.split("words", " "), lambda w: F.xxhash64(w))).alias("hashes")).where(F.size("hashes") >= LEAST_FILED)
-    fresh = hashed.select("k1", F.coalesce("doc", F.lit(-(1 << 63))).alias("doc"), "hashes")
-    filed = counted(filing(fresh, rarity(hashed), total))
-    # One job, so that the filings are shuffled once: light keys give pairs, heavy keys keep their filings.
-    filings = ("key", "k1", "doc", "bits", "sizes")
-    kept = filed.where(F.col("filings") > HEAVY).select(F.struct(*filings).alias("heavy"))
-    made = cut(light_pairs(filed).unionByName(kept, allowMissingColumns=True))
-    few = made.where("heavy is null").select("a", "b")
-    heavy = made.where("heavy is not null").select("heavy.*")
-    ids = few.select(F.explode(F.array("a", "b")).alias("k1")).unionByName(heavy.select("k1")).distinct()
-    sets = cut(class_sets(classes, ids))
-    near = cut(verified(few.unionByName(first_pairs(heavy)).distinct(), sets))
-    rest = verified(rest_pairs(heavy, near.select("k1").distinct()), sets)
-    near = near.unionByName(rest).select("pos")
-    return equal.unionByName(near).groupBy("pos.doc_id", "pos.text_hash").agg(F.collect_set("pos.line_no").alias("line_nos"))
+    """doc_id, text_hash and line_nos (an array) of the lines that match an earlier line; ``docs`` as from ``keyed``.
+
+    Every step is written to the shared folder, and tables go as soon as no later step reads them."""
+    ranks = written(rarity(docs))
+    lines = written(prepared(docs, ranks, least_words))
+    repeated, passed = repeats(lines)
+    filed = filings(classes_of(lines, repeated, passed))
+    heavy_keys = written(filed.where("maybe_heavy").groupBy("key").agg(F.count(F.lit(1)).alias("filings")).where(F.col("filings") > HEAVY))
+    split = marked(filed, F.col("key"), written(sieve(heavy_keys, "key")))
+    # Some keys of few filings are treated as heavy ones, which gives the same result.
+    heavy = written(split.where("maybe_heavy and may_match").select(*FILING, "doc"))
+    few = written(light_pairs(split.where("not (maybe_heavy and may_match)").select(*FILING)))
+    few = written(few.unionByName(first_pairs(heavy)).distinct())
+    wanted = few.select(F.explode(F.array("a", "b")).alias("k1")).unionByName(heavy.select("k1")).distinct()
+    named = classes_of(lines, repeated, passed).select("k1", "doc_id", "text_hash", "line_no")
+    ids = written(named.join(wanted, "k1", "left_semi"))
+    sets = written(class_sets(docs, ids, least_words))
+    dropped(ranks, lines, passed, heavy_keys)
+    near = written(verified(few, sets).distinct())
+    rest = written(verified(rest_pairs(heavy, near.select("k1").distinct()), sets))
+    equal = repeated.where("not first").select(F.struct("doc_id", "text_hash", "line_no").alias("pos"))
+    every = equal.unionByName(near.select("pos")).unionByName(rest.select("pos"))
+    found = written(every.groupBy("pos.doc_id", "pos.text_hash").agg(F.collect_set("pos.line_no").alias("line_nos")))
+    dropped(heavy, few, ids, sets)
+    return found
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
@@ -193,9 +285,10 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 
 def removed(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` (with any further columns) without the lines found; adds n_lines and n_removed."""
-    found = cut(found).withColumnsRenamed({"doc_id": "found_id", "text_hash": "found_hash"})
-    docs = marked(docs, F.col("text_hash"), sieve(found, "found_hash"))
+    """``docs`` (doc_id, text, text_hash and at most one further column, row) without the lines found; adds n_lines and
+    n_removed."""
+    found = found.withColumnsRenamed({"doc_id": "found_id", "text_hash": "found_hash"})
+    docs = marked(docs, F.col("text_hash"), written(sieve(found, "found_hash")))
     untouched = docs.where("not may_match").drop("may_match").withColumn("line_nos", F.lit(None).cast("array<int>"))
     touched = docs.where("may_match").drop("may_match").join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("text_hash") == F.col("found_hash")), "left").drop("found_id", "found_hash")
     touched = touched.withColumn("all_lines", F.split("text", "\n"))

@@ -5,9 +5,9 @@ Between classes: the words of a line are ordered by rarity, a line is filed unde
 share a key and pass the length and positional filters (and one of 64 bits over all words) are candidates, and the
 candidates' full word sets decide.  A line that matches an earlier one is removed.
 
-Texts are cut into words three times and never shuffled for it: to count words, to prepare a narrow row for each line
-(its keys, not its words), and to fetch the words of candidates.  Rarity is a count of all words in a fixed number of
-hash buckets, so the order is a table of fixed size; ties are broken by hash, and any one order gives the same pairs.
+Texts are cut into words twice and never shuffled for it: to count words, and to write a row for each line with its keys
+and its text, of which later steps read the columns they need.  Rarity is a count of all words in a fixed number of hash
+buckets, so the order is a table of fixed size; ties are broken by hash, and any one order gives the same pairs.
 
 A frequent word gives no key of its own.  Sets that are alike and share no rare word of their prefixes share B + 1
 frequent words in prefixes that are longer by B, so that of B buckets of words one has two of them: pairs of words of
@@ -28,7 +28,7 @@ NUMERATOR, DENOMINATOR = 4, 5
 LEAST_WORDS = 5
 #: Sets of fewer words are alike only if they are equal, so they are not filed.
 LEAST_FILED = 4
-#: Buckets of words, eight to a number of the table of ranks; a rank is 4 times the logarithm of the bucket's count.
+#: Buckets of words; a rank, of seven bits, is 4 times the logarithm of the bucket's count.
 RARITY_BUCKETS, RANKS_A_BIT = 1 << 22, 4
 #: A word whose bucket has more occurrences is frequent.
 FREQUENT = 512
@@ -37,8 +37,8 @@ HOT_ONE_IN = 1_000
 #: A key with more filings is heavy: each filing is first compared with SALTS early ones, and only what has no match by
 #: then with the rest.  So a group of lines that are all alike costs a comparison a line, not one a pair.
 HEAVY, SALTS = 64, 8
-#: White space but the line feed.
-BLANKS = r"[\t\x0B\f\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: White space but the blank and the line feed.  The range before the list spares most characters a walk through it.
+BLANKS = r"[\t\x0B\f\r\x{85}-\x{3000}&&[\t\x0B\f\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]]"
 
 FILING = ("key", "k1", "bits", "sizes")
 
@@ -53,9 +53,13 @@ def _shift(name: str, x: Column, by: Column) -> Column:
     return F.call_function(name, x, by.cast("int"))
 
 
-def _words_by_line(text: Column) -> Column:
-    """Of each line an array of its words."""
-    return F.transform(F.split(F.regexp_replace(text, BLANKS, " "), "\n"), lambda x: F.array_remove(F.split(x, " "), ""))
+def _lines(text: Column) -> Column:
+    """The lines of a text, with blanks as the only white space."""
+    return F.split(F.regexp_replace(text, BLANKS, " "), "\n")
+
+
+def _words(line: Column) -> Column:
+    return F.array_remove(F.split(line, " "), "")
 
 
 def _hashes(words: Column) -> Column:
@@ -74,18 +78,22 @@ def _rank(count: int) -> int:
 
 
 def rarity(docs: DataFrame) -> DataFrame:
-    """One row, one array: the ranks of all buckets, eight to a number; ranks go to 127, by the logarithm of the count."""
-    word = F.explode(F.split(F.regexp_replace(F.regexp_replace("text", BLANKS, " "), "\n", " "), " "))
-    counts = docs.select(word.alias("w")).where("w != ''").groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    """One row, one array: the ranks of all buckets, a byte each; ranks go to 127, by the logarithm of the count.
+
+    Eight buckets are gathered as one number, for there are fewer of these to collect."""
+    word = F.explode(F.split(F.replace(F.regexp_replace("text", BLANKS, " "), F.lit("\n"), F.lit(" ")), " "))
+    counts = docs.select(word.alias("w")).where("w != ''").groupBy(_bucket(F.xxhash64("w")).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     rank = F.least(F.floor(F.log2("n") * RANKS_A_BIT), F.lit(127)).cast("long")
     eight = counts.groupBy(F.shiftright("b", 3).cast("int").alias("at")).agg(F.bit_or(_shift("shiftleft", rank, F.col("b").bitwiseAND(F.lit(7)) * 8)).alias("r"))
     every = docs.sparkSession.range(RARITY_BUCKETS // 8).select(F.col("id").cast("int").alias("at")).join(eight, "at", "left")
-    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("r", F.lit(0).cast("long")).alias("r")))), lambda x: x["r"]).alias("ranks"))
+    eights = every.agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("r", F.lit(0).cast("long")).alias("r")))).alias("e"))
+    parted = lambda x: F.array(*[F.shiftright(x["r"], 8 * k).bitwiseAND(F.lit(127).cast("long")).cast("tinyint") for k in range(8)])
+    return eights.select(F.flatten(F.transform("e", parted)).alias("ranks"))
 
 
 def _prefix(n: Column) -> Column:
     """A set of n words shares at least ceil(4 n / 5) words with one that is alike."""
-    return F.col(n) - F.ceil(F.col(n) * NUMERATOR / DENOMINATOR).cast("int") + 1 if isinstance(n, str) else n - F.ceil(n * NUMERATOR / DENOMINATOR).cast("int") + 1
+    return n - F.ceil(n * NUMERATOR / DENOMINATOR).cast("int") + 1
 
 
 def _parts(n: Column) -> Column:
@@ -96,22 +104,59 @@ def _parts(n: Column) -> Column:
 def prepared(docs: DataFrame, ranks: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """A row for each line that takes part: doc_id, text_hash, line_no (these give the order of lines), k1 and k2 (two
     hashes of the set of words), n, bits (one set for every word's hash modulo 64: two sets differ in at least as many
-    words as bits), rare (the rare words of the prefix) and frequent (the words after them up to the end of the longer
-    prefix, if the prefix has any).  Words are numbers that sort by rarity.
+    words as bits), filed (key, position in the order and maybe_heavy of each filing) and line (its text).
 
     The words are made inside the generator, which gives them once; a filter on a later column would split anew."""
-    lines = F.filter(F.transform(_words_by_line(F.col("text")), lambda ws, i: F.struct(i.alias("line_no"), F.size(ws).alias("words"), _hashes(ws).alias("hashes"))), lambda x: x["words"] >= least_words)
-    out = docs.select("doc_id", "text_hash", F.explode(lines).alias("l")).select("doc_id", "text_hash", "l.line_no", "l.hashes", ranks.scalar().alias("ranks"))
+    enough = lambda x: F.size(x["hashes"]) >= 1
+    if least_words > 1:
+        enough = lambda x: F.size(_words(x["line"])) >= least_words
+    lines = F.filter(F.transform(_lines(F.col("text")), lambda x, i: F.struct(i.alias("line_no"), _hashes(_words(x)).alias("hashes"), x.alias("line"))), enough)
+    out = docs.select("doc_id", "text_hash", F.explode(lines).alias("l")).select("doc_id", "text_hash", "l.line_no", "l.hashes", "l.line", ranks.scalar().alias("ranks"))
     # A subquery's value enters the function that uses it once the projections are merged; no row carries the table.
-    rank = lambda h: _shift("shiftright", F.get("ranks", F.shiftright(_bucket(h), 3).cast("int")), h.bitwiseAND(F.lit(7)) * 8).bitwiseAND(F.lit(127).cast("long"))
+    # Words become numbers that sort by rarity.
+    rank = lambda h: F.get("ranks", _bucket(h).cast("int")).cast("long")
     order = F.sort_array(F.transform("hashes", lambda h: F.shiftleft(rank(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
     bits = F.aggregate("hashes", F.lit(0).cast("long"), lambda s, h: s.bitwiseOR(_shift("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)))))
-    out = out.select("doc_id", "text_hash", "line_no", F.xxhash64("hashes").alias("k1"), F.xxhash64(F.lit(7), "hashes").alias("k2"), F.size("hashes").alias("n"), bits.alias("bits"), order.alias("order"))
-    size = _prefix("n")
-    out = out.withColumn("order", F.when(F.col("n") >= LEAST_FILED, F.slice("order", 1, size + _parts(F.col("n")))))
-    out = out.withColumn("rare", F.filter(F.slice("order", 1, size), lambda w: w < F.lit((_rank(FREQUENT) + 1) << 56)))
-    frequent = F.when(F.size("rare") < size, F.slice("order", F.size("rare") + 1, F.size("order")))
-    return out.withColumn("frequent", frequent).drop("order")
+    keep = ("doc_id", "text_hash", "line_no", "k1", "k2", "n", "bits", "line")
+    n = F.col("n")
+    out = out.select("doc_id", "text_hash", "line_no", F.xxhash64("hashes").alias("k1"), F.xxhash64(F.lit(7), "hashes").alias("k2"), F.size("hashes").alias("n"), bits.alias("bits"), "line", order.alias("order"))
+    out = out.select(*keep, F.when(n >= LEAST_FILED, F.slice("order", 1, _prefix(n) + _parts(n))).alias("order"))
+    out = out.select("*", F.filter(F.slice("order", 1, _prefix(n)), lambda w: w < F.lit((_rank(FREQUENT) + 1) << 56)).alias("rare"))
+    out = out.select("*", F.when(F.size("rare") < _prefix(n), F.slice("order", F.size("rare") + 1, F.size("order"))).alias("frequent"))
+    # The partner's size decides on B; for all sizes that may be the lesser of the two, B has at most two values.
+    low, high = _parts(F.ceil(n * NUMERATOR / DENOMINATOR)), _parts(n)
+    out = _paired(_paired(out, high, F.lit(True), "p"), low, low != high, "q")
+    single = F.transform("rare", lambda w, i: F.struct(w.alias("key"), i.alias("at"), (w >= F.lit(_rank(HEAVY) << 56)).alias("maybe_heavy")))
+    none = F.array().cast("array<struct<key:long,at:int,maybe_heavy:boolean>>")
+    return out.select(*keep, F.concat(F.coalesce(single, none), F.coalesce("p", none), F.coalesce("q", none)).alias("filed"))
+
+
+def _paired(lines: DataFrame, parts: Column, wanted: Column, name: str) -> DataFrame:
+    """Adds the filings under pairs of frequent words of one of B = ``parts`` buckets, where ``wanted``.
+
+    Each step is a column of its own, so that none is made again for every element of the next."""
+    start = F.struct(F.lit(-1).cast("long").alias("b"), F.lit(0).alias("run"), F.lit(1).alias("most"))
+
+    def follow(s: Column, x: Column) -> Column:
+        run = F.when(s["b"] == x["b"], s["run"] + 1).otherwise(F.lit(1))
+        return F.struct(x["b"].alias("b"), run.alias("run"), F.greatest(s["most"], run).alias("most"))
+
+    def pair(x: Column, y: Column) -> Column:
+        # Up to B - 1 shared words may come before the first of a pair, and the position says so.
+        at = F.greatest(F.size("rare") + x["i"] - F.col("_parts") + 1, F.lit(0))
+        return F.when(y["b"] == x["b"], F.struct(F.xxhash64("_parts", x["w"], y["w"]).alias("key"), at.alias("at"), F.lit(True).alias("maybe_heavy")))
+
+    def apart(d: Column) -> Column:
+        return F.filter(F.transform("_placed", lambda x, i: pair(x, F.get("_placed", i + d))), lambda p: p.isNotNull())
+
+    out = lines.withColumn("_parts", parts)
+    words = F.slice("frequent", 1, _prefix(F.col("n")) + F.col("_parts") - F.size("rare"))
+    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(F.pmod(F.xxhash64(w), F.col("_parts")).alias("b"), w.alias("w"), i.alias("i"))))
+    out = out.withColumn("_placed", F.when(wanted & F.col("frequent").isNotNull(), placed))
+    # Words of a bucket are at a distance of 1, 2, ... in the list sorted by bucket.
+    out = out.withColumn("_most", F.aggregate("_placed", start, follow, lambda s: s["most"]))
+    out = out.withColumn(name, F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.col("_most") - 1, F.lit(1))), apart)))
+    return out.drop("_parts", "_placed", "_most")
 
 
 def repeats(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -121,7 +166,7 @@ def repeats(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     several = written(lines.groupBy("k1", "k2").agg(F.min(pos).alias("first_pos"), F.count(F.lit(1)).alias("members")).where("members > 1"))
     total = lines.count()
     passed = written(sieve(several, "k1"))
-    mine = marked(lines, F.col("k1"), passed).where("may_match").drop("may_match")
+    mine = marked(lines.drop("line"), F.col("k1"), passed).where("may_match").drop("may_match")
     least = max(total // HOT_ONE_IN, 1)
     # No more than HOT_ONE_IN classes have so many lines: they are broadcast, the rest is joined by shuffle.
     hot = F.broadcast(several.where(F.col("members") > least))
@@ -130,16 +175,15 @@ def repeats(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     many = mine.join(F.broadcast(several.where(F.col("members") > least).select("k1", "k2")), ["k1", "k2"], "left_anti").join(cold, ["k1", "k2"], "left")
     both = one.unionByName(many)
     first = F.col("first_pos").isNull() | (pos == F.col("first_pos"))
-    both = both.withColumn("first", first)
-    slim = [F.when(F.col("first"), F.col(c)).alias(c) for c in ("rare", "frequent")]
-    out = written(both.select("doc_id", "text_hash", "line_no", "k1", "k2", "n", "bits", *slim, "first"))
+    both = both.withColumn("first", first).withColumn("filed", F.when(F.col("first"), F.col("filed")))
+    out = written(both.select(*(c for c in lines.columns if c != "line"), "first"))
     dropped(several)
     return out, passed
 
 
 def classes_of(lines: DataFrame, repeated: DataFrame, passed: DataFrame) -> DataFrame:
     """One row a class: its first line."""
-    alone = marked(lines, F.col("k1"), passed).where("not may_match").drop("may_match", "k2")
+    alone = marked(lines, F.col("k1"), passed).where("not may_match").drop("may_match", "k2", "line")
     firsts = repeated.where("first").drop("first").dropDuplicates(["k1", "k2"]).drop("k2")
     return alone.unionByName(firsts).where(F.col("n") >= LEAST_FILED)
 
@@ -147,33 +191,10 @@ def classes_of(lines: DataFrame, repeated: DataFrame, passed: DataFrame) -> Data
 def filings(classes: DataFrame) -> DataFrame:
     """For each key under which a class is filed: key, k1, bits, sizes (the set's size and the position of the key's first
     word in the order, in one number), doc and maybe_heavy, false if the key can't have many filings."""
-    doc = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    sizes = lambda at: F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(at.cast("long")).alias("sizes")
-    single = classes.select("k1", "bits", "n", doc.alias("doc"), F.posexplode("rare").alias("at", "key"))
-    single = single.select("key", "k1", "bits", sizes(F.col("at")), "doc", (F.col("key") >= F.lit(_rank(HEAVY) << 56)).alias("maybe_heavy"))
-    some = classes.where("frequent is not null").select("k1", "bits", "n", doc.alias("doc"), F.size("rare").alias("r"), "frequent")
-    least = F.ceil(F.col("n") * NUMERATOR / DENOMINATOR)
-    # The partner's size decides on B; for all sizes that may be the lesser of the two, B has at most two values.
-    some = some.select("*", F.explode(F.array_distinct(F.array(_parts(least), _parts(F.col("n"))))).alias("parts"))
-    words = F.slice("frequent", 1, _prefix("n") + F.col("parts") - F.col("r"))
-    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(F.pmod(F.xxhash64(w), F.col("parts")).alias("b"), w.alias("w"), i.alias("i"))))
-    some = some.withColumn("placed", placed)
-    start = F.struct(F.lit(-1).cast("long").alias("b"), F.lit(0).alias("run"), F.lit(1).alias("most"))
-
-    def follow(s: Column, x: Column) -> Column:
-        run = F.when(s["b"] == x["b"], s["run"] + 1).otherwise(F.lit(1))
-        return F.struct(x["b"].alias("b"), run.alias("run"), F.greatest(s["most"], run).alias("most"))
-
-    some = some.withColumn("most", F.aggregate("placed", start, follow, lambda s: s["most"]))
-    # Words of a bucket at a distance of 1, 2, ... in the list sorted by bucket.  Up to B - 1 shared words may come before
-    # the first of a pair, and the position says so.
-    at = lambda x: F.greatest(F.col("r") + x["i"] - F.col("parts") + 1, F.lit(0))
-    other = lambda i, d: F.get("placed", i + d)
-    apart = lambda d: F.transform("placed", lambda x, i: F.when(other(i, d)["b"] == x["b"], F.struct(F.xxhash64("parts", x["w"], other(i, d)["w"]).alias("key"), at(x).alias("at"))))
-    pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.col("most") - 1, F.lit(1))), lambda d: F.filter(apart(d), lambda p: p.isNotNull())))
-    double = some.select("k1", "bits", "n", "doc", F.explode(pairs).alias("f"))
-    double = double.select("f.key", "k1", "bits", sizes(F.col("f.at")), "doc", F.lit(True).alias("maybe_heavy"))
-    return single.unionByName(double)
+    doc = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc")
+    out = classes.select("k1", "bits", "n", doc, F.explode("filed").alias("f"))
+    sizes = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("f.at").cast("long")).alias("sizes")
+    return out.select("f.key", "k1", "bits", sizes, "doc", "f.maybe_heavy")
 
 
 def passes(xs: str, ys: str) -> Column:
@@ -222,16 +243,14 @@ def rest_pairs(heavy: DataFrame, found: DataFrame) -> DataFrame:
     return _pairs(near, heavy.withColumn("band", band), (F.col("x.k1") != F.col("y.k1")) & (F.col("y.doc") <= F.col("x.doc")), ("key", "band"))
 
 
-def class_sets(docs: DataFrame, ids: DataFrame, least_words: int) -> DataFrame:
+def class_sets(lines: DataFrame, ids: DataFrame) -> DataFrame:
     """k1, pos and words of the classes in ``ids``, from their first lines."""
-    lines = F.filter(F.transform(_words_by_line(F.col("text")), lambda ws, i: F.struct(i.alias("line_no"), F.size(ws).alias("n"), F.array_distinct(ws).alias("words"), F.xxhash64(_hashes(ws)).alias("k1"))), lambda x: x["n"] >= least_words)
-    lines = docs.select("doc_id", "text_hash", F.explode(lines).alias("l")).select("doc_id", "text_hash", "l.line_no", "l.words", "l.k1")
     at = ("k1", "doc_id", "text_hash", "line_no")
-    likely = marked(lines, F.col("k1"), written(sieve(ids, "k1"))).where("may_match").groupBy(*at).agg(F.first("words").alias("words"))
+    likely = marked(lines.select(*at, "line"), F.col("k1"), written(sieve(ids, "k1"))).where("may_match").groupBy(*at).agg(F.first("line").alias("line"))
     same = F.lit(True)
     for c in at:
         same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"i.{c}"))
-    return likely.alias("l").join(ids.alias("i"), same).select("l.k1", F.struct("l.doc_id", "l.text_hash", "l.line_no").alias("pos"), "l.words")
+    return likely.alias("l").join(ids.alias("i"), same).select("l.k1", F.struct("l.doc_id", "l.text_hash", "l.line_no").alias("pos"), F.array_distinct(_words(F.col("l.line"))).alias("words"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -249,7 +268,7 @@ def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
 
     Every step is written to the shared folder, and tables go as soon as no later step reads them."""
     ranks = written(rarity(docs))
-    lines = written(prepared(docs, ranks, least_words))
+    lines = written(prepared(docs, ranks, least_words), "zstd")
     repeated, passed = repeats(lines)
     filed = filings(classes_of(lines, repeated, passed))
     heavy_keys = written(filed.where("maybe_heavy").groupBy("key").agg(F.count(F.lit(1)).alias("filings")).where(F.col("filings") > HEAVY))
@@ -261,7 +280,7 @@ def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
     wanted = few.select(F.explode(F.array("a", "b")).alias("k1")).unionByName(heavy.select("k1")).distinct()
     named = classes_of(lines, repeated, passed).select("k1", "doc_id", "text_hash", "line_no")
     ids = written(named.join(wanted, "k1", "left_semi"))
-    sets = written(class_sets(docs, ids, least_words))
+    sets = written(class_sets(lines, ids))
     dropped(ranks, lines, passed, heavy_keys)
     near = written(verified(few, sets).distinct())
     rest = written(verified(rest_pairs(heavy, near.select("k1").distinct()), sets))

@@ -34,11 +34,14 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN hits USING (r) LEFT JOIN named USING (r) LEFT JOIN spanned USING (r)
 """
 
+#: White space of the lines, but the blank.
+_BLANKS = r"[\t\x0B\f\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
 LINES = f"""
 WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents)),
 cut AS (SELECT doc_id, text, unnest(ls) AS l, generate_subscripts(ls, 1) AS no FROM docs),
-worded AS (SELECT doc_id, text, no, list_filter(string_split(l, ' '), lambda x: x <> '') AS w FROM cut),
-numbered AS (SELECT doc_id, text, no, list_sort(list_distinct(w)) AS s, row_number() OVER (ORDER BY doc_id NULLS FIRST, text, no) AS pos FROM worded WHERE len(w) >= {lines.LEAST_WORDS}),
+worded AS (SELECT doc_id, text, no, list_filter(string_split(regexp_replace(l, '{_BLANKS}', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM cut),
+numbered AS (SELECT doc_id, text, no, list_sort(list_distinct(w)) AS s, row_number() OVER (ORDER BY doc_id NULLS FIRST, text, no) AS pos FROM worded WHERE len(w) > 0),
 classes AS (SELECT s, min(pos) AS pos, count(*) AS n FROM numbered GROUP BY s),
 words AS (SELECT pos, len(s) AS size, n, unnest(s) AS x FROM classes),
 common AS (SELECT x, sum(n) AS df FROM words GROUP BY x),

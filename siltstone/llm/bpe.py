@@ -2,9 +2,16 @@
 
 Encoding: each new word's token-position rows join the merge table, and its leftmost pair of minimum rank is
 contracted, again and again until no word has a pair left.  Decoding: the ids' rows join the vocabulary and an ordered
-aggregation puts the bytes together.  Words and runs of ids that were seen before come from tables of bounded size; a
-full table is emptied.  Words of more than LONG bytes are merged with a heap instead, for a round of SQL a merge would
-be quadratic in their length.  A text is longer than a word, so no query holds more than the new words of one slice.
+aggregation puts the bytes together.  Words that were seen before come from tables of bounded size; a full table is
+emptied.
+
+A round a merge would be quadratic in a word's length.  So words of LONG bytes contract in a round, besides that pair, all
+pairs that nothing can come before: of rank r, with no merge of lower rank that takes the left token, or the pair's, as its
+second and a token that ends in the one before as its first, nor one that takes the right token, or the pair's, as its
+first and a token that begins with the one after as its second.  The tokens beside a pair only grow away from it, so until
+the pair's turn both of its tokens stay, and contracting them early changes no choice before that.  Most pairs of a word go
+in the first rounds; what remains takes rounds in proportion to the length, so that words of HEAP bytes, for which that
+would be minutes, are merged with a heap, by the same rule.
 """
 
 from __future__ import annotations
@@ -18,11 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from siltstone.llm.batches import documents, map_slices, tokenizer_file
-from siltstone.llm.pieces import LONG, chunk_pieces, find_pieces, merged_by_heap, splits
+from siltstone.llm.pieces import find_pieces, merged_by_heap
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-KEPT = 500_000
-WORDS_A_QUERY = 40_000
+#: Bytes of words that a table remembers, words in a query, and ids in a query.
+KEPT_BYTES, WORDS_A_QUERY, IDS_A_QUERY = 12 << 20, 40_000, 1 << 20
+#: Bytes of a word from which all certain pairs are contracted in a round, and from which a heap takes over; bytes of long
+#: words in a query.
+LONG, HEAP, LONG_A_QUERY = 64, 8_192, 1 << 18
 
 #: Words as lists of ids.  Every round unnests the positions of the words that changed, joins them with the merges and
 #: contracts the pair of least rank, the leftmost of equals (both in one number).  Only a word's last list is kept, which
@@ -40,12 +50,33 @@ WITH RECURSIVE state(word, ids) USING KEY (word) AS (
 SELECT word, ids FROM state ORDER BY word
 """
 
-DECODE = """
-SELECT run, unhex(string_agg(hex, '' ORDER BY pos)) AS raw
-FROM (SELECT run, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM runs) JOIN vocabulary USING (id)
-GROUP BY run ORDER BY run
+#: The same for long words, with all certain pairs of a round.  ``before`` and ``after`` have the least rank of a merge
+#: of a token with one that ends in (begins with) another.
+ENCODE_LONG = """
+WITH RECURSIVE state(word, ids) USING KEY (word) AS (
+  SELECT word, ids FROM start
+  UNION ALL
+  (WITH positions AS (
+     SELECT word, unnest(ids) AS lft, unnest(list_append(ids[2:], -1)) AS rgt, unnest(list_prepend(-1, ids[:-2])) AS previous,
+       unnest(list_concat(ids[3:], [-1, -1])) AS following, unnest(range(len(ids))) AS pos FROM state WHERE len(ids) > 1),
+   ranked AS (
+     SELECT word, pos, lft, merged,
+       merged IS NOT NULL AND merged < least(coalesce(b.rank, 2147483647), coalesce(c.rank, 2147483647), coalesce(d.rank, 2147483647)) AND merged <= coalesce(a.rank, 2147483647) AS certain,
+       min(merged::BIGINT * 4294967296 + pos) OVER (PARTITION BY word) AS pair
+     FROM positions LEFT JOIN merges USING (lft, rgt)
+       LEFT JOIN before b ON b.beside = previous AND b.token = lft LEFT JOIN after a ON a.beside = following AND a.token = rgt
+       LEFT JOIN before c ON c.beside = previous AND c.token = merged LEFT JOIN after d ON d.beside = following AND d.token = merged),
+   placed AS (
+     SELECT word, pos, CASE WHEN starts THEN merged ELSE lft END AS id, lag(starts, 1, false) OVER (PARTITION BY word ORDER BY pos) AS gone
+     FROM (SELECT word, pos, lft, merged, certain OR (merged IS NOT NULL AND merged::BIGINT * 4294967296 + pos = pair) AS starts FROM ranked WHERE pair IS NOT NULL))
+   SELECT word, list(id ORDER BY pos) FROM placed WHERE NOT gone GROUP BY word)
+)
+SELECT word, ids FROM state ORDER BY word
 """
 
+#: Tokens are kept as strings of one character a byte, since those can be put together in order.
+DECODE = "SELECT run, string_agg(chars, '' ORDER BY pos) AS chars FROM runs JOIN vocabulary USING (id) GROUP BY run ORDER BY run"
+
 
 def ranks_of(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines())}
@@ -61,102 +92,134 @@ def merge_table(ranks: dict[bytes, int]) -> pa.Table:
     return pa.table({"lft": pa.array(left, pa.int32()), "rgt": pa.array(right, pa.int32()), "merged": pa.array(merged, pa.int32())})
 
 
+def bounds(merges: pa.Table, ranks: dict[bytes, int]) -> dict[str, pa.Table]:
+    """The tables ``before`` and ``after``."""
+    tokens = {i: token for token, i in ranks.items()}
+    ending = {i: [r for k in range(len(t)) if (r := ranks.get(t[k:])) is not None] for i, t in tokens.items()}
+    beginning = {i: [r for k in range(1, len(t) + 1) if (r := ranks.get(t[:k])) is not None] for i, t in tokens.items()}
+    before: dict[tuple[int, int], int] = {}
+    after: dict[tuple[int, int], int] = {}
+    for m, a, b in sorted(zip(*(merges.column(c).to_pylist() for c in ("merged", "lft", "rgt"))), reverse=True):
+        before.update({(u, b): m for u in ending[a]})
+        after.update({(v, a): m for v in beginning[b]})
+    column = lambda values: pa.array(list(values), pa.int32())
+    table = lambda d: pa.table({"beside": column(k[0] for k in d), "token": column(k[1] for k in d), "rank": column(d.values())})
+    return {"before": table(before), "after": table(after)}
+
+
 class Coder:
     """Encodes and decodes with one database; not for several threads."""
 
-    def __init__(self, ranks: dict[bytes, int], kept: int = KEPT):
+    def __init__(self, ranks: dict[bytes, int], kept: int = KEPT_BYTES):
         import duckdb
 
-        self.ranks, self.kept = ranks, kept
-        self.byte = [ranks[bytes([b])] for b in range(256)]
-        self.blank = np.zeros(max(ranks.values()) + 1, bool)
-        self.blank[[i for token, i in ranks.items() if token[:1] == b" "]] = True
+        self.ranks, self.kept, self.held = ranks, kept, 0
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.pieces: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
-        self.runs: dict[bytes, bytes] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        # Nothing is written to a worker's own disk: a query that exceeds the limit fails.
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         merges = merge_table(ranks)
         self.pairs = {(a, b): (m, m) for a, b, m in zip(*(merges.column(c).to_pylist() for c in ("lft", "rgt", "merged")))}
-        vocabulary = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in ranks])})
-        for name, table in (("merges", merges), ("vocabulary", vocabulary)):
+        vocabulary = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "chars": pa.array([t.decode("latin-1") for t in ranks])})
+        for name, table in ({"merges": merges, "vocabulary": vocabulary} | bounds(merges, ranks)).items():
             self.db.register("given", table)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
 
-    def _query(self, view: str, key: str, lists: list[np.ndarray], sql: str) -> pa.Table:
-        sizes = np.fromiter(map(len, lists), np.int32, len(lists))
-        offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists).astype(np.int32)))
-        self.db.register(view, pa.table({key: pa.array(np.arange(len(lists), dtype=np.int32)), "ids": ids}))
+    def _query(self, view: str, table: pa.Table, sql: str) -> pa.Table:
+        self.db.register(view, table)
         out = self.db.sql(sql).to_arrow_table()
         self.db.unregister(view)
         return out
 
-    def learn(self, words: list[str]) -> None:
+    def _merged(self, words: list[tuple[str, bytes]], sql: str) -> None:
+        sizes = np.fromiter((len(raw) for _, raw in words), np.int64, len(words))
+        offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(self.byte[np.frombuffer(b"".join([raw for _, raw in words]), np.uint8)]))
+        lists = self._query("start", pa.table({"word": pa.array(np.arange(len(words), dtype=np.int32)), "ids": ids}), sql).column("ids").combine_chunks()
+        flat, ends = lists.flatten().to_numpy().astype("<u4").tobytes(), (np.diff(lists.offsets.to_numpy()).cumsum() * 4).tolist()
+        self.pieces.update({word: flat[a:b] for (word, _), a, b in zip(words, [0, *ends], ends, strict=False)})
+
+    def learn(self, words: Iterable[str]) -> None:
         """Encodes words that are not yet in ``pieces``."""
-        rest = []
+        rest, long, size = [], [], 0
         for word in words:
             raw = word.encode()
+            self.held += len(raw)
             if (rank := self.ranks.get(raw)) is not None:
                 self.pieces[word] = rank.to_bytes(4, "little")
-            elif len(raw) > LONG:
-                self.pieces[word] = np.array(merged_by_heap([self.byte[b] for b in raw], self.pairs), "<u4").tobytes()
-            else:
+            elif len(raw) < LONG:
                 rest.append((word, raw))
-        table = np.array(self.byte, np.int32)
+            elif len(raw) >= HEAP:
+                self.pieces[word] = np.array(merged_by_heap(self.byte[np.frombuffer(raw, np.uint8)].tolist(), self.pairs), "<u4").tobytes()
+            else:
+                long.append((word, raw))
+                size += len(raw)
+                if size >= LONG_A_QUERY:
+                    self._merged(long, ENCODE_LONG)
+                    long, size = [], 0
         for at in range(0, len(rest), WORDS_A_QUERY):
-            part = rest[at : at + WORDS_A_QUERY]
-            out = self._query("start", "word", [table[np.frombuffer(raw, np.uint8)] for _, raw in part], ENCODE)
-            lists = out.column("ids").combine_chunks()
-            flat, ends = lists.flatten().to_numpy().astype("<u4").tobytes(), (np.diff(lists.offsets.to_numpy()).cumsum() * 4).tolist()
-            self.pieces.update({word: flat[a:b] for (word, _), a, b in zip(part, [0, *ends], ends, strict=False)})
+            self._merged(rest[at : at + WORDS_A_QUERY], ENCODE)
+        if long:
+            self._merged(long, ENCODE_LONG)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each text, its ids as little-endian unsigned 32-bit integers."""
-        if len(self.pieces) > self.kept:
-            self.pieces.clear()
-        if len(self.chunks) > self.kept:
-            self.chunks.clear()
+        if self.held > self.kept:
+            self.pieces, self.chunks, self.held = {}, {}, 0
         split = [text.split(" ") for text in texts]
         met: set[str] = set()
         for parts in split:
-            met.update(parts[1:])
-        met = {c for c in met if c not in self.chunks}
-        bad = {c for c in met if not splits(c)}
-        new = {c: chunk_pieces(c) for c in met - bad}
+            met.update(parts)
+        # A chunk may stand alone if it has something else than white space at both ends.
+        fresh = met.difference(self.chunks)
+        bad = {c for c in fresh if not c or c[0].isspace() or c[-1].isspace()}
+        new = {c: [" " + c] if c.isascii() and c.isalpha() else find_pieces(" " + c) for c in fresh - bad}
         cut = []
-        for text, (head, *chunks) in zip(texts, split):
-            if text and splits(head) and (not bad or bad.isdisjoint(chunks)):
-                cut.append((find_pieces(head), chunks))
+        for text, parts in zip(texts, split):
+            head = parts[0]
+            if head and not head[0].isspace() and not head[-1].isspace() and (not bad or bad.isdisjoint(parts)):
+                cut.append((find_pieces(head), parts[1:]))
             else:
                 cut.append((find_pieces(text), []))
         words = {w for ps in new.values() for w in ps}
-        words.update(w for ps, _ in cut for w in ps)
-        self.learn([w for w in words if w not in self.pieces])
+        for ps, _ in cut:
+            words.update(ps)
         known = self.pieces
-        for chunk, ps in new.items():
-            self.chunks[chunk] = b"".join([known[p] for p in ps])
+        self.learn(words.difference(known))
         of = self.chunks
-        return [b"".join([*(known[p] for p in ps), *map(of.__getitem__, chunks)]) for ps, chunks in cut]
+        for chunk, ps in new.items():
+            of[chunk] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
+            self.held += len(chunk)
+        return [b"".join([*map(known.__getitem__, ps), *map(of.__getitem__, chunks)]) for ps, chunks in cut]
 
     def decode(self, encoded: list[bytes]) -> list[bytes]:
-        """The bytes behind ids.  The ids are cut before tokens that begin with a blank; each new run is decoded once."""
-        if len(self.runs) > self.kept:
-            self.runs.clear()
-        of, cut, met = self.runs, [], set()
-        for ids in encoded:
-            starts = (np.flatnonzero(self.blank[np.frombuffer(ids, "<u4")]) * 4).tolist()
-            if not starts or starts[0]:
-                starts.insert(0, 0)
-            runs = [ids[a:b] for a, b in zip(starts, [*starts[1:], len(ids)])] if ids else []
-            cut.append(runs)
-            met.update(runs)
-        fresh = [r for r in met if r not in of]
-        for at in range(0, len(fresh), WORDS_A_QUERY):
-            part = fresh[at : at + WORDS_A_QUERY]
-            raw = self._query("runs", "run", [np.frombuffer(r, "<u4") for r in part], DECODE).column("raw").to_pylist()
-            of.update(zip(part, raw, strict=True))
-        return [b"".join(map(of.__getitem__, runs)) for runs in cut]
+        """The bytes behind ids, so many ids at a time; those of a longer text are put together in the end."""
+        out: list[list[str]] = [[] for _ in encoded]
+        parts: list[tuple[int, np.ndarray]] = []
+
+        def flush() -> None:
+            run = np.repeat(np.arange(len(parts), dtype=np.int32), [len(ids) for _, ids in parts])
+            ids = np.concatenate([ids for _, ids in parts]).astype(np.int32)
+            found = self._query("runs", pa.table({"run": run, "pos": np.arange(len(ids), dtype=np.int32), "id": ids}), DECODE)
+            for (at, _), chars in zip(parts, found.column("chars").to_pylist(), strict=True):
+                out[at].append(chars)
+            parts.clear()
+
+        size = 0
+        for at, raw in enumerate(encoded):
+            ids = np.frombuffer(raw, "<u4")
+            for start in range(0, len(ids), IDS_A_QUERY):
+                part = ids[start : start + IDS_A_QUERY]
+                if parts and size + len(part) > IDS_A_QUERY:
+                    flush()
+                    size = 0
+                parts.append((at, part))
+                size += len(part)
+        if parts:
+            flush()
+        return ["".join(chars).encode("latin-1") for chars in out]
 
 
 _coders: dict[str, Coder] = {}

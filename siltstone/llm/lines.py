@@ -272,10 +272,13 @@ def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
     repeated, passed = repeats(lines)
     filed = filings(classes_of(lines, repeated, passed))
     heavy_keys = written(filed.where("maybe_heavy").groupBy("key").agg(F.count(F.lit(1)).alias("filings")).where(F.col("filings") > HEAVY))
-    split = marked(filed, F.col("key"), written(sieve(heavy_keys, "key")))
-    # Some keys of few filings are treated as heavy ones, which gives the same result.
-    heavy = written(split.where("maybe_heavy and may_match").select(*FILING, "doc"))
-    few = written(light_pairs(split.where("not (maybe_heavy and may_match)").select(*FILING)))
+    # Some keys of few filings are treated as heavy ones, which gives the same result.  The filings are a table, so that
+    # both sides of the join below are one exchange.
+    filed = marked(filed, F.col("key"), written(sieve(heavy_keys, "key")))
+    filed = written(filed.select(*FILING, "doc", (F.col("maybe_heavy") & F.col("may_match")).alias("heavy")))
+    heavy = filed.where("heavy").drop("heavy")
+    light = filed.where("not heavy").select(*FILING)
+    few = written(light_pairs(light))
     few = written(few.unionByName(first_pairs(heavy)).distinct())
     wanted = few.select(F.explode(F.array("a", "b")).alias("k1")).unionByName(heavy.select("k1")).distinct()
     named = classes_of(lines, repeated, passed).select("k1", "doc_id", "text_hash", "line_no")
@@ -287,7 +290,7 @@ def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
     equal = repeated.where("not first").select(F.struct("doc_id", "text_hash", "line_no").alias("pos"))
     every = equal.unionByName(near.select("pos")).unionByName(rest.select("pos"))
     found = written(every.groupBy("pos.doc_id", "pos.text_hash").agg(F.collect_set("pos.line_no").alias("line_nos")))
-    dropped(heavy, few, ids, sets)
+    dropped(filed, few, ids, sets)
     return found
 
 

@@ -46,7 +46,7 @@ def is_text(name: Column) -> Column:
     return (kind_of(name) == "code") | suffix(name).isin(TEXT_EXTENSIONS)
 
 
-def omitted(path: Column) -> Column:
+def out_of_scope(path: Column) -> Column:
     """Whether a segment above the name, or the name if hidden, puts an entry out of scope by default."""
     segments = F.split(path, "/")
     above = F.slice(segments, 1, F.size(segments) - 1)
@@ -59,3 +59,24 @@ def size_label(size: Column) -> Column:
     return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1 << 20, F.concat(F.format_number(size / 1024, 1), F.lit(" KB"))).when(
         size < 1 << 30, F.concat(F.format_number(size / (1 << 20), 1), F.lit(" MB"))
     ).otherwise(F.concat(F.format_number(size / (1 << 30), 1), F.lit(" GB")))
+
+
+def duration_label(seconds: Column) -> Column:
+    """Whole milliseconds under a second, else seconds with one digit."""
+    short = F.concat(F.floor(seconds * 1000 + 0.5).cast("string"), F.lit(" ms"))
+    return F.when(seconds < 1, short).otherwise(F.concat(seconds.cast("decimal(18,1)").cast("string"), F.lit(" s")))
+
+
+def day_label(modified: Column) -> Column:
+    """The day of a time in seconds, in the session's time zone; null if it isn't known."""
+    return F.date_format(F.timestamp_seconds(modified), "yyyy-MM-dd")
+
+
+def of_kind(kind: Column, wanted: str) -> Column:
+    """Whether an entry is shown under a filter by kind, or under ``all``."""
+    return F.lit(True) if wanted == "all" else kind == wanted
+
+
+def allowed(actions, hits):
+    """Actions on paths of the latest results; all others are dropped."""
+    return actions.join(hits.select("path"), "path", "left_semi")

@@ -13,6 +13,7 @@ KINDS = {
     "code": "swift py js jsx ts tsx json yaml yml toml html css scss c h cpp rs go rb sh zsh sql xml tex ipynb java kt m mm glsl rst ini cfg pot".split(),
     "media": "mp4 mov mkv avi webm m4v mp3 m4a wav aiff flac ogg".split(),
 }
+KIND_OF = {extension: kind for kind, extensions in reversed(KINDS.items()) for extension in extensions}
 # Words that a query drops.
 STOP_WORDS = "a an and are at be by can could desktop do file files find folder folders for from i in is it me my of on or please search show some that the these this to was where which with".split()
 # Groups of words that stand for each other.
@@ -26,11 +27,13 @@ CREDENTIALS = [
     r"(?s)-----BEGIN[^\n]*PRIVATE KEY-----.*?-----END[^\n]*PRIVATE KEY-----",
     r"(?im)(?:api[_-]?key|access[_-]?token|client[_-]?secret|password)\s*[=:]\s*[\"']?[^\s\"',;]{6,}",
 ]
+# What replaces a credential; extensions of texts that are read whole, and of documents that are sampled.
 REDACTED = "[credential redacted]"
 TEXT_EXTENSIONS = [".txt", ".md", ".markdown", ".csv", ".tsv", ".log", ".svg", ".rtf", ""]
 SAMPLED_EXTENSIONS = [".pdf", ".docx", ".pptx", ".xlsx", ".odt"]
 # Places in the judged set by route, in the order in which routes are served.
 QUOTAS = {"name": 32, "content": 48, "context": 24, "preview": 8, "explore": 16}
+# Constants of BM25; most results, judged records, records a request, the threshold; characters of texts.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 RESULTS, JUDGED, BATCH, THRESHOLD = 500, 128, 32, 0.6
 EXCERPT, SNIPPET = 1400, 650

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from siltstone.functions.vocabulary import RESULTS, THRESHOLD
 
 
+#: How an entry's contents were seen.
+COVERAGES = ("text", "sampled", "folder", "unavailable", "name_only", "protected")
+
+
 def merge_evidence(evidence: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row a path: the last verdict decides, and local evidence counts only where there is none.
 
@@ -46,6 +50,32 @@ def cost_rollup(calls: DataFrame) -> DataFrame:
     )
 
 
+#: Phases in which a search goes on, and in which its costs may lack some.
+RUNNING, UNSURE = ("starting", "scanning", "thinking"), ("stopped", "partial", "error")
+
+
+def cost_label(cost: Column, reports: Column, unreported: Column, phase: Column) -> Column:
+    """Struct of label and value: what a search cost so far, or that nothing says so."""
+    amount = F.when(valid_cost(cost.cast("string")).isNotNull(), cost).otherwise(0.0)
+    nothing = (unreported > 0) & (reports == 0)
+    unsure = (unreported > 0) | phase.isin(*UNSURE)
+    label = F.when(nothing, "Cost unavailable").when(unsure, "Reported cost").when(phase.isin(*RUNNING), "Cost so far").otherwise("Search cost")
+    shown = F.when((amount > 0) & (amount < 0.0001), "<$0.0001").otherwise(F.concat(F.lit("$"), F.format_string("%.4f", amount)))
+    return F.struct(label.alias("label"), F.when(nothing, "—").otherwise(shown).alias("value"))
+
+
+def route_counts(chosen: DataFrame) -> DataFrame:
+    """How many candidates each route gave."""
+    return chosen.groupBy("route").agg(F.count(F.lit(1)).alias("n"))
+
+
+def byte_counts(texts: DataFrame, text: str = "text", budget: int | None = None) -> DataFrame:
+    """One row: bytes of all texts, of the largest, and whether they keep within a budget."""
+    size = F.octet_length(F.coalesce(F.col(text), F.lit("")))
+    total = F.coalesce(F.sum(size), F.lit(0)).cast("long")
+    return texts.agg(total.alias("bytes"), F.coalesce(F.max(size), F.lit(0)).cast("long").alias("largest"), (F.lit(True) if budget is None else total <= budget).alias("within"))
+
+
 def coverage_counts(records: DataFrame) -> DataFrame:
     """How many records were read, sampled, unavailable, known by name only, or protected."""
     is_ = lambda name: F.count_if(F.col("coverage") == name).alias(name)

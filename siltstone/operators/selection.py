@@ -2,59 +2,116 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable, Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.vocabulary import BATCH, JUDGED, QUOTAS
 
-CAP, EXEMPT, VISIBLE = 4, 0.96, 0.45
+CAP, EXEMPT, VISIBLE, CONTEXT = 4, 0.96, 0.45, 0.72
+#: Parts of a folder that are cut to what can count before the folder is looked at as a whole.
+SALTS = 64
+
+
+def numbered(df: DataFrame, by: list[str], order: list[Column], name: str, most: int | None = None) -> DataFrame:
+    """Adds a row's number within its group, and with ``most`` drops rows beyond it.
+
+    Then a large group is first cut in parts, so that no task sorts more than ``most`` rows of each part."""
+    own = Window.partitionBy(*by)
+    if most is None:
+        return df.withColumn(name, F.row_number().over(own.orderBy(*order)))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64("path" if "path" in df.columns else F.struct(*df.columns)), F.lit(SALTS)))
+    part = F.row_number().over(Window.partitionBy(*by, "_salt").orderBy(*order))
+    first = salted.withColumn("_part", part).where(F.col("_part") <= most).drop("_salt", "_part")
+    return first.withColumn(name, F.row_number().over(own.orderBy(*order))).where(F.col(name) <= most)
 
 
 def round_robin(df: DataFrame, folder: str = "parent", order: str = "seq", per_folder: int | None = None, total: int | None = None) -> DataFrame:
     """Rows in turns over folders, each folder by ``order``, folders by their first; adds turn."""
-    own = Window.partitionBy(folder)
-    df = df.withColumns({"turn": F.row_number().over(own.orderBy(order)), "folder_first": F.min(order).over(own)})
-    if per_folder is not None:
-        df = df.where(F.col("turn") <= per_folder)
-    df = df.orderBy("turn", "folder_first", order)
-    return (df if total is None else df.limit(total)).drop("folder_first")
+    limits = [n for n in (per_folder, total) if n is not None]
+    df = numbered(df, [folder], [F.col(order)], "turn", min(limits) if limits else None)
+    first = F.min(order).over(Window.partitionBy(folder))
+    df = df.withColumn("_first", first).orderBy("turn", "_first", order)
+    return (df if total is None else df.limit(total)).drop("_first")
 
 
-def _member(route: str) -> Column:
-    name, content = F.col("name_score"), F.col("content_score")
-    return {
-        "name": (name >= VISIBLE) & (name != 0.72), "content": content >= VISIBLE, "context": name == 0.72,
-        "preview": (F.coalesce("text", F.lit("")) != "") & (content < VISIBLE), "explore": F.lit(True),
-    }[route]
+def late(nth: Column, name_score: Column) -> Column:
+    """Whether a row comes after all others of its route: past its folder's CAP and without a full name match."""
+    return (nth > CAP) & (name_score < EXEMPT)
+
+
+def diverse(df: DataFrame, order: list[Column], by: tuple[str, ...] = ("parent",), most: int | None = None) -> DataFrame:
+    """Adds nth (a row's place in its folder) and late; a row with a full name match counts in its folder all the same."""
+    return numbered(df, list(by), order, "nth", most).withColumn("late", late(F.col("nth"), F.col("name_score")))
 
 
-def _order(route: str) -> list[Column]:
-    first = {"explore": F.crc32(F.col("path").cast("binary")), "content": F.desc("content_score")}.get(route, F.desc("name_score"))
-    return [first, F.col("path")]
+def routed(df: DataFrame) -> DataFrame:
+    """A row for each route that a candidate is in, with ``key``, by which and by path the route is ordered."""
+    name, content = F.col("name_score"), F.col("content_score")
+    text = F.coalesce("text", F.lit("")) != ""
+    member = {"name": (name >= VISIBLE) & (name != CONTEXT), "content": content >= VISIBLE, "context": name == CONTEXT, "preview": text & (content < VISIBLE), "explore": F.lit(True)}
+    keys = {"explore": F.crc32(F.col("path").cast("binary")).cast("double"), "content": -content}
+    ways = [F.when(member[r], F.struct(F.lit(r).alias("route"), keys.get(r, -name).alias("key"))) for r in QUOTAS]
+    out = df.select("path", "parent", "name_score", F.explode(F.filter(F.array(*ways), lambda w: w.isNotNull())).alias("w"))
+    return out.select("path", "parent", "name_score", "w.route", "w.key")
 
 
-def diverse(df: DataFrame, order: list[Column]) -> DataFrame:
-    """Adds place: rows past the cap of their folder come after all others, each part by ``order``; a row with a full
-    name match counts in its folder but is never put off."""
-    nth = F.row_number().over(Window.partitionBy("parent").orderBy(*order))
-    df = df.withColumn("late", ((nth > CAP) & (F.col("name_score") < EXEMPT)).cast("int"))
-    return df.withColumn("place", F.row_number().over(Window.orderBy("late", *order))).drop("late")
+def select_candidates(df: DataFrame, total: int = JUDGED, excluded: Iterable[str] = (), used: Mapping[str, int] | None = None, of: int = JUDGED) -> DataFrame:
+    """path, route and place (from 0) of at most ``total`` rows: each route takes its share of what is left, less what it
+    has ``used``, and explore fills up, counting folders anew.
 
+    ``df`` has path, parent, name_score, content_score and text.  One job ranks all routes and keeps, of each, as many
+    rows as the choice can see: of the first rows of folders and of the late ones the first ``total`` and its share.
+    A second one gets what may move up in the folders of these.  The choice itself goes over these rows only."""
+    barred, used = set(excluded), used or {}
+    most = total + len(barred)
+    order = [F.col("key"), F.col("path")]
+    ranked = diverse(routed(df), order, ("route", "parent"), CAP + most + total)
+    window = Window.partitionBy("route", "late")
+    # Again in two steps, for a route has all rows and one task would sort them.
+    salted = ranked.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)))
+    place = F.row_number().over(Window.partitionBy("route", "late", "salt").orderBy(*order))
+    salted = salted.withColumn("nth_of_salt", place).where(F.col("nth_of_salt") <= most + total).drop("salt", "nth_of_salt")
+    first = salted.withColumn("at", F.row_number().over(window.orderBy(*order))).where(F.col("at") <= most + total)
+    rows = {(r["route"], r["path"]): r for r in first.collect()}  # at most 10 (2 total + barred)
+    folders = df.sparkSession.createDataFrame([(p,) for p in {r["parent"] for r in rows.values()}], "parent string")
+    moving = ranked.where("late").join(F.broadcast(folders), "parent", "left_semi")
+    rows |= {(r["route"], r["path"]): r for r in moving.collect()}  # at most so many of each of these folders
+    routes = {route: sorted((r for (of_route, _), r in rows.items() if of_route == route), key=lambda r: (r["key"], r["path"])) for route in QUOTAS}
+    chosen: list[tuple[str, str, int]] = []
 
-def select_candidates(df: DataFrame, total: int = JUDGED) -> DataFrame:
-    """path and route of at most ``total`` rows: each route takes its share of rows not yet taken, explore fills up.
+    def take(route: str, share: int) -> None:
+        seen: Counter = Counter()
+        left = [r for r in routes[route] if r["path"] not in barred]
+        soon, after = [], []
+        for r in left:
+            put_off = seen[r["parent"]] >= CAP and r["name_score"] < EXEMPT
+            (after if put_off else soon).append(r)
+            seen[r["parent"]] += not put_off
+        for r in (soon + after)[: max(0, min(share, total - len(chosen)))]:
+            barred.add(r["path"])
+            chosen.append((r["path"], route, len(chosen)))
 
-    ``df`` has path, parent, name_score, content_score and text.  Each route first keeps, by folder and then overall, no
-    more rows than it could take, so that the last ordering sees a few hundred rows whatever the input."""
-    chosen: list[tuple[str, str]] = []  # at most ``total`` rows
     for route, quota in QUOTAS.items():
-        taken = [path for path, _ in chosen]
-        left = df.where(_member(route) & ~F.col("path").isin(taken)) if taken else df.where(_member(route))
-        share = total - len(chosen) if route == "explore" else max(0, round(quota * total / JUDGED))
-        order = _order(route)
-        # The nearest rows of each folder's first CAP, then the nearest of the rest, hold all that can be taken.
-        capped = left.withColumn("nth", F.row_number().over(Window.partitionBy("parent").orderBy(*order)))
-        late = ((F.col("nth") > CAP) & (F.col("name_score") < EXEMPT)).cast("int")
-        part = capped.withColumn("late", late).orderBy("late", *order).limit(share).select("path")
-        chosen += [(r["path"], route) for r in part.collect()]
-    return df.sparkSession.createDataFrame(chosen, "path string, route string")
+        take(route, round(quota * of / JUDGED) - used.get(route, 0))
+    take("explore", total - len(chosen))
+    return df.sparkSession.createDataFrame(chosen, "path string, route string, place int")
+
+
+def batches(df: DataFrame, order: list[Column], size: int = BATCH) -> DataFrame:
+    """Adds batch and idx (both from 0) to the few rows that are judged."""
+    at = F.row_number().over(Window.orderBy(*order)) - 1
+    return df.withColumn("_at", at).withColumns({"batch": F.floor(F.col("_at") / size), "idx": F.col("_at") % size}).drop("_at")
+
+
+def answered(batched: DataFrame, answers: DataFrame) -> DataFrame:
+    """Candidates with the answers to their keys: ``answers`` has batch, key (f and the place in the batch) and probability."""
+    return batched.withColumn("key", F.concat(F.lit("f"), F.col("idx").cast("string"))).join(answers, ["batch", "key"])
+
+
+def reverse_rank(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Adds rank: the number of rows for the first, 1 for the last, over the few rows that are shown."""
+    every = Window.partitionBy(F.lit(1))
+    return df.withColumn("rank", (F.count(F.lit(1)).over(every) - F.row_number().over(every.orderBy(*order)) + 1).cast("int"))

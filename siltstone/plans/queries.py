@@ -43,6 +43,15 @@ def _counts(spark, sf_dir):
     return bm25.term_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), WORDS)
 
 
+@query()
+def stemmed_freq(spark, sf_dir):
+    """Length and counts of words by stems and without accents, as folders are ranked; SQL has no stemmer."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = [p[0] for p in text.Query("running licenses worthless").terms]
+    counts = bm25.term_counts(d, words, tokens=text.stemmed_tokens(F.col("text")))
+    return counts.select("doc_id", "len", *[F.get("tf", F.lit(k)).alias(f"tf{k}") for k in range(len(words))])
+
+
 @query(f"WITH {BM25} SELECT doc_id, score FROM b ORDER BY score DESC, doc_id LIMIT 500")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.top(table(spark, sf_dir, "documents"), WORDS)
@@ -64,9 +73,8 @@ def term_freq(spark, sf_dir):
     return _counts(spark, sf_dir).where(F.exists("tf", lambda x: x > 0)).select("doc_id", *[F.get("tf", F.lit(k)).alias(f"tf{k}") for k in range(3)])
 
 
-@query(f"WITH {TOKENS} SELECT w AS word, count(*) AS df FROM (SELECT unnest(list_distinct(tok)) AS w FROM t) GROUP BY w HAVING count(*) > 1")
+@query(f"WITH {TOKENS} SELECT w AS word, count(*) AS df FROM (SELECT unnest(list_distinct(tok)) AS w FROM t) GROUP BY w")
 def doc_freq(spark, sf_dir):
-    """All words; the SQL leaves out those of one document only."""
     d = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(text.ranked_tokens(F.col("text")))).alias("word"))
     return d.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
 
@@ -82,9 +90,15 @@ PHRASES = f"WITH {TOKENS} SELECT doc_id, len(list_filter(range(1, len(tok)), lam
 
 @query(f"SELECT * FROM ({PHRASES}) WHERE n > 0")
 def phrase_freq(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", text.ranked_tokens(F.col("text")).alias("tok"))
-    pairs = F.zip_with(F.slice("tok", 1, F.greatest(F.size("tok") - 1, F.lit(0))), F.slice("tok", 2, F.greatest(F.size("tok") - 1, F.lit(0))), lambda a, b: (a == "of") & (b == "the"))
-    return d.select("doc_id", F.size(F.filter(pairs, lambda x: x)).cast("long").alias("n")).where("n > 0")
+    return bm25.phrase_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), ["of", "the"]).where("n > 0")
+
+
+
+def _folded(x: str) -> str:
+    """SQL for a text cut at camel-case boundaries, in lower case and without accents (of letters with marks; other
+    compatibility forms than the sharp s are not in the tables)."""
+    cut = f"regexp_replace(regexp_replace({x}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g')"
+    return f"strip_accents(replace(lower({cut}), 'ß', 'ss'))"
 
 
 NAME_TOKENS = "regexp_extract_all(lower(name), '[\\p{L}\\p{Nl}\\p{No}]+|\\p{Nd}+')"
@@ -97,9 +111,8 @@ def word_tokens_names(spark, sf_dir):
     return p.select("path", F.array_join(text.word_tokens(F.col("name")), " ").alias("words"))
 
 
-@query(f"SELECT conv_id, turn, array_to_string(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+|\\p{{Nd}}+'), lambda x: NOT list_contains({_list(V.STOP_WORDS)}, x)), ' ') AS terms FROM conversations WHERE regexp_full_match(text, '[\\x00-\\x7F]*') AND NOT regexp_matches(text, '[a-z0-9][A-Z]|[A-Z][A-Z][a-z]')")
+@query(f"SELECT conv_id, turn, array_to_string(list_filter(regexp_extract_all({_folded("coalesce(text, '')")}, '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+|\\p{{Nd}}+'), lambda x: NOT list_contains({_list(V.STOP_WORDS)}, x)), ' ') AS terms FROM conversations")
 def query_term_filter(spark, sf_dir):
-    """All turns; the SQL, which neither folds accents nor splits camel case, has those where that makes no difference."""
     terms = text.without_stop_words(text.word_tokens(F.coalesce("text", F.lit(""))))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(terms, " ").alias("terms"))
 
@@ -130,7 +143,8 @@ def parent_rollup(spark, sf_dir):
 @query(f"WITH {PARTS_SQL} SELECT parent, array_to_string(list_sort(list(name))[1:24], ', ') AS listing FROM s WHERE NOT (list_contains({_list(V.SECRET_EXTENSIONS)}, ext)) AND NOT starts_with(name, '.') GROUP BY parent")
 def folder_listing(spark, sf_dir):
     p = parts(spark, sf_dir).where(~files.sensitive(F.col("name")) & ~F.col("name").startswith("."))
-    return p.groupBy("parent").agg(F.array_join(F.slice(F.array_sort(F.collect_list("name")), 1, 24), ", ").alias("listing"))
+    first = selection.numbered(p.select("parent", "name", "path"), ["parent"], [F.col("name")], "nth", 24)
+    return first.groupBy("parent").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("listing"))
 
 
 def _sql_name_score(q: text.Query) -> str:
@@ -157,22 +171,19 @@ def alias_score(spark, sf_dir):
     return parts(spark, sf_dir).select("path", F.round(scoring.alias_score(F.col("path"), NAMES), 6).alias("score"))
 
 
-_PLAIN = "regexp_full_match(text, '[\\x00-\\x7F]*') AND NOT regexp_matches(text, '[a-z0-9][A-Z]|[A-Z][A-Z][a-z]')"
-_TEXT_TOKENS = NAME_TOKENS.replace("name", "text")
+_TEXT_TOKENS = NAME_TOKENS.replace("lower(name)", _folded("coalesce(text, '')"))
 
 
-@query(f"SELECT doc_id, round(CASE WHEN m > 0 THEN 0.48::DOUBLE + 0.38::DOUBLE * m / {len(LOCAL.groups)} ELSE 0.0::DOUBLE END, 6) AS score FROM (SELECT doc_id, {_sql_groups(LOCAL, _TEXT_TOKENS)} AS m FROM documents WHERE {_PLAIN})")
+@query(f"SELECT doc_id, round(CASE WHEN m > 0 THEN 0.48::DOUBLE + 0.38::DOUBLE * m / {len(LOCAL.groups)} ELSE 0.0::DOUBLE END, 6) AS score FROM (SELECT doc_id, {_sql_groups(LOCAL, _TEXT_TOKENS)} AS m FROM documents)")
 def content_score(spark, sf_dir):
-    """All documents; the SQL has those that are plain."""
     return documents(spark, sf_dir).select("doc_id", F.round(scoring.content_score(F.col("text"), LOCAL), 6).alias("score"))
 
 
 _KEPT = f"' ' || array_to_string(list_filter({_TEXT_TOKENS}, lambda x: NOT list_contains({_list(V.STOP_WORDS)}, x)), ' ') || ' '"
 
 
-@query(f"SELECT doc_id, CASE WHEN contains({_KEPT}, ' {LOCAL.phrase} ') THEN 0.86::DOUBLE ELSE 0.0::DOUBLE END AS score, CASE WHEN contains({_KEPT}, ' {LOCAL.phrase} ') THEN 'content' ELSE 'semantic' END AS source FROM documents WHERE {_PLAIN}")
+@query(f"SELECT doc_id, CASE WHEN contains({_KEPT}, ' {LOCAL.phrase} ') THEN 0.86::DOUBLE ELSE 0.0::DOUBLE END AS score, CASE WHEN contains({_KEPT}, ' {LOCAL.phrase} ') THEN 'content' ELSE 'semantic' END AS source FROM documents")
 def local_visibility(spark, sf_dir):
-    """All documents; the SQL has those that are plain."""
     v = scoring.visibility(F.col("path"), F.col("text"), LOCAL)
     return documents(spark, sf_dir).select("doc_id", v.alias("v")).select("doc_id", "v.score", "v.source")
 
@@ -187,11 +198,11 @@ def desktop_rank(spark, sf_dir):
     q = text.Query(" ".join(WORDS))
     d = documents(spark, sf_dir)
     tokens = F.concat(text.ranked_tokens(F.col("path")), text.ranked_tokens(F.coalesce("text", F.lit(""))))
-    counts = bm25.term_counts(d, WORDS, tokens=tokens)
+    counts = bm25.shared(bm25.term_counts(d.select("path", "text"), WORDS, tokens=tokens), "path")
     name = scoring.name_score(F.col("path"), q, ascii_only=True)
-    kept = counts.crossJoin(F.broadcast(bm25.statistics(counts, 3))).withColumn("name_score", name).where(F.exists("tf", lambda x: x > 0) | (F.col("name_score") >= 0.91))
+    kept = counts.crossJoin(F.broadcast(bm25.statistics(counts, 3))).withColumns({"name_score": name, "raw": bm25.score(3)}).where("raw > 0 or name_score >= 0.91")
     priority = F.when(F.col("name_score") == 1, 0).when(F.col("name_score") >= 0.91, 1).otherwise(2)
-    return kept.select("path", F.round(bm25.score(3), 6).alias("score"), priority.alias("priority")).orderBy("priority", F.desc("score"), "path").limit(500)
+    return kept.select("path", F.round("raw", 6).alias("score"), priority.alias("priority")).orderBy("priority", F.desc("score"), "path").limit(500)
 
 
 _COVER = f"CASE WHEN list_contains({_list(V.SECRET_EXTENSIONS)}, ext) THEN 'protected' WHEN list_contains({_list(V.SAMPLED_EXTENSIONS)}, ext) THEN 'sampled' WHEN {_KIND} = 'code' OR list_contains({_list(V.TEXT_EXTENSIONS)}, ext) THEN 'text' ELSE 'name_only' END"
@@ -223,17 +234,39 @@ def _candidates(spark, sf_dir):
 
 @query(f"WITH {_SCORED}, k AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY name_score DESC, path) AS nth FROM n) SELECT path, (nth > 4 AND name_score < 0.96) AS late FROM k WHERE name_score >= 0.45")
 def dir_diversity_cap(spark, sf_dir):
-    from pyspark.sql import Window
+    p = selection.diverse(_candidates(spark, sf_dir), [F.desc("name_score"), F.col("path")])
+    return p.where("name_score >= 0.45").select("path", "late")
+
+
+def _quota_sql() -> str:
+    """The choice, route by route: what is left is ranked, late rows last, and the share taken; explore goes by CRC-32."""
+    step = "xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    codes = "list_transform(regexp_extract_all(hex(encode(path)), '..'), lambda h: ('0x' || h)::BIGINT)"
+    parts = [
+        f"bits(i, c, k) AS (SELECT range, range::BIGINT, 0 FROM range(256) UNION ALL SELECT i, {step}, k + 1 FROM bits WHERE k < 8)",
+        "crc AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8)",
+        _SCORED + ", z AS (SELECT path, (size % 3 = 0) AS has_text FROM s)",
+        f"given AS (SELECT path, parent, name_score, content_score, has_text, xor(list_reduce({codes}, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS crc FROM n JOIN z USING (path), crc)",
+        "t0 AS (SELECT NULL::VARCHAR AS path, NULL::VARCHAR AS route, 0 AS step WHERE false)",
+    ]
+    where = {"name": "name_score >= 0.45 AND name_score <> 0.72", "content": "content_score >= 0.45", "context": "name_score = 0.72", "preview": "has_text AND content_score < 0.45", "explore": "true"}
+    by = {"explore": "crc", "content": "content_score DESC"}
+    for k, (route, quota) in enumerate([*V.QUOTAS.items(), ("explore", V.JUDGED)]):
+        order = f"{by.get(route, 'name_score DESC')}, path"
+        parts.append(f"l{k} AS (SELECT path, name_score, {'crc, ' if route == 'explore' else ''}content_score, row_number() OVER (PARTITION BY parent ORDER BY {order}) AS nth FROM given WHERE {where[route]} AND path NOT IN (SELECT path FROM t{k}))")
+        parts.append(f"o{k} AS (SELECT path, row_number() OVER (ORDER BY nth > {selection.CAP} AND name_score < {selection.EXEMPT}, {order}) AS place FROM l{k})")
+        parts.append(f"t{k + 1} AS (SELECT * FROM t{k} UNION ALL SELECT path, '{route}', {k} FROM o{k} WHERE place <= least({quota}, {V.JUDGED} - (SELECT count(*) FROM t{k})))")
+    return "WITH RECURSIVE " + ",\n".join(parts) + f" SELECT path, route FROM t{len(V.QUOTAS) + 1}"
+
+
+@query(_quota_sql())
+def route_quota_select(spark, sf_dir):
+    return selection.select_candidates(_candidates(spark, sf_dir)).select("path", "route")
 
-    p = _candidates(spark, sf_dir)
-    nth = F.row_number().over(Window.partitionBy("parent").orderBy(F.desc("name_score"), "path"))
-    return p.withColumn("late", (nth > selection.CAP) & (F.col("name_score") < selection.EXEMPT)).where("name_score >= 0.45").select("path", "late")
 
-
-@query()
-def route_quota_select(spark, sf_dir):
-    """The explore route goes by CRC-32, which the SQL engine lacks."""
-    return selection.select_candidates(_candidates(spark, sf_dir))
+@query(f"SELECT route, count(*) AS n FROM ({_quota_sql()}) GROUP BY route")
+def routes_used(spark, sf_dir):
+    return results.route_counts(selection.select_candidates(_candidates(spark, sf_dir)))
 
 
 @query(f"WITH {BM25}, t2 AS (SELECT doc_id, score FROM b ORDER BY score DESC, doc_id LIMIT 128), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS pos FROM t2) SELECT doc_id, score, (pos // 32)::BIGINT AS batch, (pos % 32)::INT AS idx FROM r")
@@ -242,6 +275,76 @@ def batch_assign(spark, sf_dir):
     return selection.batches(top, [F.desc("score"), F.col("doc_id")])
 
 
+_TOP = f"{BM25}, t2 AS (SELECT doc_id, score FROM b ORDER BY score DESC, doc_id LIMIT 128), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS pos FROM t2)"
+
+
+@query(f"WITH {_TOP} SELECT doc_id, 'f' || (pos % 32)::VARCHAR AS key, (pos // 32)::BIGINT AS batch, (quality + 0.5::DOUBLE) / 2 AS probability FROM r JOIN labels USING (doc_id)")
+def keyed_answers(spark, sf_dir):
+    """Judged rows with the answers to their keys; the labels of documents stand for a judge's answers."""
+    batched = batch_assign(spark, sf_dir)
+    labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") + 0.5) / 2).alias("probability"))
+    given = batched.join(labels, "doc_id").select("batch", F.concat(F.lit("f"), F.col("idx").cast("string")).alias("key"), "probability")
+    return selection.answered(batched, given).select("doc_id", "key", "batch", "probability")
+
+
+@query(f"WITH {_TOP} SELECT doc_id, (count(*) OVER () - pos)::INT AS rank FROM r")
+def reverse_rank(spark, sf_dir):
+    top = bm25.top(table(spark, sf_dir, "documents"), WORDS, limit=V.JUDGED)
+    return selection.reverse_rank(top, [F.desc("score"), F.col("doc_id")]).select("doc_id", "rank")
+
+
+@query(f"WITH {_TOP} SELECT doc_id, score FROM b ANTI JOIN t2 USING (doc_id) ORDER BY score DESC, doc_id LIMIT 128")
+def next_candidates(spark, sf_dir):
+    """The rows after those that were judged already."""
+    counts = bm25.shared(_counts(spark, sf_dir), "doc_id")
+    every = bm25.scored(counts, 3).select("doc_id", "score")
+    judged = every.orderBy(F.desc("score"), "doc_id").limit(V.JUDGED)
+    return every.join(F.broadcast(judged), "doc_id", "left_anti").orderBy(F.desc("score"), "doc_id").limit(V.JUDGED)
+
+
+@query(f"WITH {PARTS_SQL} SELECT path, {_KIND} AS kind FROM s WHERE {_KIND} = 'document'")
+def kind_filter(spark, sf_dir):
+    p = parts(spark, sf_dir).select("path", files.kind_of(F.col("name")).alias("kind"))
+    return p.where(files.of_kind(F.col("kind"), "document"))
+
+
+@query("SELECT p_partkey, strftime(make_timestamp((p_retailprice * 1000000 * 1000000)::BIGINT), '%Y-%m-%d') AS day FROM part")
+def day_labels(spark, sf_dir):
+    """Days of made times, in UTC."""
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("p_retailprice") * 1000000 / 86400).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.date_format(day, "yyyy-MM-dd").alias("day"))
+
+
+@query("SELECT event_id, CASE WHEN t < 1 THEN floor(t * 1000 + 0.5)::BIGINT::VARCHAR || ' ms' ELSE t::DECIMAL(18,1)::VARCHAR || ' s' END AS label FROM (SELECT event_id, (event_id % 4000) / 1000.0::DOUBLE AS t FROM events)")
+def duration_labels(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", files.duration_label((F.col("event_id") % 4000) / 1000.0).alias("label"))
+
+
+_PHASES = ["starting", "scanning", "thinking", "complete", "partial", "stopped", "error"]
+
+
+@query(f"""SELECT event_id, CASE WHEN u > 0 AND r = 0 THEN 'Cost unavailable' WHEN u > 0 OR phase IN ('partial', 'stopped', 'error') THEN 'Reported cost' WHEN phase IN ('starting', 'scanning', 'thinking') THEN 'Cost so far' ELSE 'Search cost' END AS label,
+CASE WHEN u > 0 AND r = 0 THEN '—' WHEN cost > 0 AND cost < 0.0001 THEN '<$0.0001' ELSE '$' || format('{{:.4f}}', cost) END AS value
+FROM (SELECT event_id, list_extract({_PHASES!r}, (event_id % 7)::INT + 1) AS phase, (event_id % 3)::INT AS u, (event_id % 2)::INT AS r, CASE WHEN event_id % 11 = 0 THEN 0.00005::DOUBLE ELSE (event_id % 16) / 16.0::DOUBLE END AS cost FROM events)""")
+def cost_labels(spark, sf_dir):
+    n = F.col("event_id")
+    phase = F.get(F.array(*map(F.lit, _PHASES)), (n % 7).cast("int"))
+    cost = F.when(n % 11 == 0, 0.00005).otherwise((n % 16) / 16.0)
+    return table(spark, sf_dir, "events").select("event_id", results.cost_label(cost, n % 2, n % 3, phase).alias("c")).select("event_id", "c.label", "c.value")
+
+
+@query("SELECT coalesce(sum(n), 0)::BIGINT AS bytes, coalesce(max(n), 0)::BIGINT AS largest, coalesce(sum(n), 0) <= 340000 AS within FROM (SELECT octet_length(encode(coalesce(text, ''))) AS n FROM documents)")
+def byte_counts(spark, sf_dir):
+    return results.byte_counts(table(spark, sf_dir, "documents"), budget=340_000)
+
+
+@query(f"WITH {BM25}, h AS (SELECT doc_id FROM b ORDER BY score DESC, doc_id LIMIT 500) SELECT d.doc_id AS path FROM documents d SEMI JOIN h USING (doc_id)")
+def allowed_actions(spark, sf_dir):
+    """Actions (one on each document) that name one of the latest hits."""
+    hits = bm25.top(table(spark, sf_dir, "documents"), WORDS).select(F.col("doc_id").alias("path"))
+    return files.allowed(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path")), hits)
+
+
 _KEY = "'key ' || 'AKIA' || 'ABCDEFGHIJKLMNOP' || ' password=' || p_partkey::VARCHAR || 'secretvalue ' || p_name"
 
 

@@ -61,12 +61,14 @@ def tokenizer_file(name: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """The checkpoint folder that the cluster names; one of our own only where none is set, as in tests."""
+    """The checkpoint folder that the cluster names; one of our own only where there is no cluster, as in tests."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         folder = tempfile.mkdtemp(prefix="siltstone-checkpoints-")

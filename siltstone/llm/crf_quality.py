@@ -28,6 +28,8 @@ PREDICT_AT = 0.7
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 RATIOS = (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.75)
 STEPS, TURNS = 120, 2
+#: Lines whose features are held at once in scoring.
+LINES = 1 << 14
 
 
 def line_values(line: str) -> list[float]:
@@ -64,7 +66,7 @@ def chained(own: np.ndarray, starts: np.ndarray) -> np.ndarray:
     before, after = np.zeros_like(own), np.zeros_like(own)
     before[1:], after[:-1] = own[:-1], own[1:]
     before[starts] = 0
-    after[np.append(starts[1:], len(own)) - 1] = 0
+    after[starts[starts > 0] - 1] = 0
     return np.concatenate([own, before, after, np.ones((len(own), 1), np.float32)], 1)
 
 
@@ -123,6 +125,16 @@ class Crf:
         self.w, self.t = theta[:-4], theta[-4:].reshape(2, 2)
 
 
+def line_scores(lines: list[str], starts: np.ndarray, w: np.ndarray, most: int = LINES) -> np.ndarray:
+    """Each line's score for label 1, features times ``w``, in blocks that see the line before and the one after."""
+    out = np.empty(len(lines))
+    for at in range(0, len(lines), most):
+        a, b = max(0, at - 1), min(len(lines), at + most + 1)
+        inside = starts[(starts >= a) & (starts < b)] - a
+        out[at : at + most] = (chained(line_features(lines[a:b]), inside) @ w)[at - a : at - a + most]
+    return out
+
+
 def featured(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Chained features of all lines, each document's first line and number of lines, and the lines' lengths.  An empty
     text is one empty line."""
@@ -151,8 +163,12 @@ class Model:
     def __call__(self, texts: list[str]) -> np.ndarray:
         if self.crf is None:
             return np.full(len(texts), self.b)
-        x, starts, lengths, size = featured(texts)
-        p, _, _ = self.crf.marginals(x @ self.crf.w, starts, lengths)
+        split = [x.split("\n") for x in texts]
+        lengths = np.array([len(x) for x in split], np.int64)
+        starts = np.cumsum(lengths) - lengths
+        flat = [line for x in split for line in x]
+        size = np.array([len(x) + 1 for x in flat], np.float64)
+        p, _, _ = self.crf.marginals(line_scores(flat, starts, self.crf.w), starts, lengths)
         return 1 / (1 + np.exp(-(self.a * _logit(document_means(p, starts, size)) + self.b)))
 
 

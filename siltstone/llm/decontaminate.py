@@ -1,26 +1,27 @@
 """Benchmark decontamination by one Aho-Corasick automaton over the windows of all test items.
 
-Texts are lower-cased in A-Z and reduced to words joined by blanks; each is scanned once.  Hits are word positions,
-which map back to code points of the original text.  The automaton is sent to the workers only while the items' bytes
-stay under a bound; beyond it the items go through in blocks of that bound, and the blocks' hits are put together.
+Texts are lower-cased in A-Z and cut into words, which become numbers: those of the items' words, and 0 for any other.
+The automaton goes over the numbers, so that it has a node for a word and not for each of its letters; each text is
+scanned once.  Hits are word positions, which map back to code points of the original text.  The items are sent to the
+workers only while their bytes stay under a bound; beyond it they go through in blocks of that bound, and the blocks' hits
+are put together, which gives the same rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
-from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.batches import cut, documents, map_slices, slices
 
 WINDOW = 10
-#: Bytes of item texts in one automaton.
-AUTOMATON_BYTES = 8 << 20
+#: Bytes of item texts in one automaton.  A window has ten nodes of some 40 bytes, and an item's byte is a sixth of a
+#: window, so that this is some 150 MB a worker.
+AUTOMATON_BYTES = 2 << 20
 
 #: Of UTF-8 bytes: A-Z to lower case, other word bytes as they are, the rest to blanks.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -31,23 +32,24 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_TABLE).split()
 
 
-def windows(text: str | None, size: int = WINDOW) -> list[str]:
-    """An item's windows, as blank-joined words with a blank at either end; a shorter item is one window."""
-    item = [w.decode() for w in words(text)]
-    return [f" {' '.join(item[i : i + size])} " for i in range(max(1, len(item) - size + 1))] if item else []
+def windows(text: str | None, size: int = WINDOW) -> list[tuple[bytes, ...]]:
+    """An item's windows; a shorter item is one window."""
+    item = tuple(words(text))
+    return [item[i : i + size] for i in range(max(1, len(item) - size + 1))] if item else []
 
 
 class Scanner:
     def __init__(self, items: list[tuple[str, str]], size: int = WINDOW):
         import ahocorasick
 
-        found: dict[str, set[str]] = {}
+        self.number: dict[bytes, int] = {}
+        found: dict[tuple[int, ...], set[str]] = {}
         for item, text in items:
             for window in windows(text, size):
-                found.setdefault(window, set()).add(item)
-        self.automaton = ahocorasick.Automaton()
+                found.setdefault(tuple(self.number.setdefault(w, len(self.number) + 1) for w in window), set()).add(item)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for window, names in found.items():
-            self.automaton.add_word(window, (window.count(" ") - 1, tuple(sorted(names))))
+            self.automaton.add_word(window, (len(window), tuple(sorted(names))))
         if found:
             self.automaton.make_automaton()
         self.any = bool(found)
@@ -57,15 +59,11 @@ class Scanner:
         own = words(text)
         if not self.any or not own:
             return len(own), [], []
-        spans, names, ends = [], set(), None
-        for end, (width, items) in self.automaton.iter(f" {b' '.join(own).decode()} "):
-            ends = ends or list(accumulate(len(w.decode()) + 1 for w in own))
-            last = bisect_left(ends, end)
+        of = self.number.get
+        spans, names = [], set()
+        for last, (width, items) in self.automaton.iter(tuple([of(w, 0) for w in own])):
             names.update(items)
-            if spans and last - width + 1 <= spans[-1][1]:
-                spans[-1] = (min(spans[-1][0], last - width + 1), max(spans[-1][1], last + 1))
-            else:
-                spans.append((last - width + 1, last + 1))
+            spans.append((last - width + 1, last + 1))
         merged: list[tuple[int, int]] = []
         for a, b in sorted(spans):
             if merged and a <= merged[-1][1]:
@@ -75,12 +73,22 @@ class Scanner:
         return len(own), merged, sorted(names)
 
 
-def offsets(text: str, spans: list[tuple[int, int]]) -> str:
-    """Intervals of words as start:end in code points of the original text, comma-joined."""
+def placed(text: str, spans: list[tuple[int, int]]) -> list[list[int]]:
+    """Intervals of words, each with its start and end in code points of the original text."""
     if not spans:
-        return ""
+        return []
     at = [m.span() for m in _WORD.finditer(text)]
-    return ",".join(f"{at[a][0]}:{at[b - 1][1]}" for a, b in spans)
+    return [[a, b, at[a][0], at[b - 1][1]] for a, b in spans]
+
+
+def _united(spans: Column) -> Column:
+    """Sorted intervals as ``placed`` has them, those that meet or overlap made one."""
+    def add(done: Column, s: Column) -> Column:
+        last = F.element_at(done, -1)
+        one = F.array(last[0], F.greatest(last[1], s[1]), last[2], F.greatest(last[3], s[3]))
+        return F.when((F.size(done) > 0) & (s[0] <= F.get(F.get(done, F.size(done) - 1), F.lit(1))), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(one))).otherwise(F.concat(done, F.array(s)))
+
+    return F.aggregate(spans, F.array().cast("array<array<long>>"), add)
 
 
 def _scan(docs: DataFrame, items: list[tuple[str, str]], size: int) -> DataFrame:
@@ -96,23 +104,20 @@ def _scan(docs: DataFrame, items: list[tuple[str, str]], size: int) -> DataFrame
                 "doc_id": part.column("doc_id").cast(pa.int64()),
                 "text_key": pa.array([hashlib.md5(x.encode()).hexdigest() if s else "" for x, (_, s, _) in zip(texts, found)]),
                 "n_words": pa.array([n for n, _, _ in found], pa.int64()),
-                "n_hit": pa.array([sum(b - a for a, b in s) for _, s, _ in found], pa.int64()),
                 "items": pa.array([i for _, _, i in found], pa.list_(pa.string())),
-                "spans": pa.array([offsets(x, s) for x, (_, s, _) in zip(texts, found)]),
-                "word_spans": pa.array([[list(x) for x in s] for _, s, _ in found], pa.list_(pa.list_(pa.int64()))),
+                "word_spans": pa.array([placed(x, s) for x, (_, s, _) in zip(texts, found)], pa.list_(pa.list_(pa.int64()))),
             })
 
         return step
 
-    return map_slices(docs, "text", "doc_id long, text_key string, n_words long, n_hit long, items array<string>, spans string, word_spans array<array<long>>", work)
+    return map_slices(docs, "text", "doc_id long, text_key string, n_words long, items array<string>, word_spans array<array<long>>", work)
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, size: int = WINDOW, bound: int = AUTOMATON_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items and spans (original code points) of every document.
 
     Null or empty texts have no words; items without words have no windows; a null item_id counts as "".  Equal rows
-    each give a row; items that share an id count once; an empty benchmark hits nothing.  Beyond ``bound`` the spans
-    are those of the blocks, comma-joined.
+    each give a row; items that share an id count once; an empty benchmark hits nothing.  ``bound`` changes no row.
     """
     docs = documents(df, id_col, text_col)
     items = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(f"`{item_text_col}`"), F.lit("")).alias("item_text"))
@@ -122,6 +127,9 @@ def contamination(df: DataFrame, benchmark: DataFrame, size: int = WINDOW, bound
         out = _scan(docs, [tuple(r) for r in items.collect()], size)  # at most ``bound`` bytes, as just summed
     else:
         out = _in_blocks(docs, items, blocks, size)
+    hits = F.aggregate("word_spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+    spans = F.array_join(F.transform("word_spans", lambda s: F.concat_ws(":", s[2].cast("string"), s[3].cast("string"))), ",")
+    out = out.withColumns({"n_hit": hits, "spans": spans})
     return out.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"), "items", "spans",
@@ -155,13 +163,13 @@ def _in_blocks(docs: DataFrame, items: DataFrame, blocks: int, size: int) -> Dat
     hits = None
     for b in range(blocks):
         own = [tuple(r) for r in items.where(block == b).toLocalIterator()]
-        part = cut(_scan(docs.select("doc_id", "text"), own, size).where("n_hit > 0"))
+        part = cut(_scan(docs.select("doc_id", "text"), own, size).where(F.size("word_spans") > 0))
         hits = part if hits is None else hits.unionByName(part)
-    hits = hits.dropDuplicates(["doc_id", "text_key", "items", "spans"]).groupBy("doc_id", "text_key").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_join(F.array_sort(F.collect_list("spans")), ",").alias("spans"),
-        F.size(F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("word_spans")), lambda s: F.sequence(s[0], s[1] - 1))))).cast("long").alias("n_hit"),
-    )
+    # Copies of a row have equal hits of each block.
+    hits = hits.drop("n_words").distinct().groupBy("doc_id", "text_key").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), _united(F.array_sort(F.flatten(F.collect_list("word_spans")))).alias("word_spans")
+    )
     counted = docs.select("doc_id", "key", F.size(F.filter(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != "")).cast("long").alias("n_words"))
     return counted.alias("d").join(hits.alias("h"), (F.col("d.doc_id").eqNullSafe(F.col("h.doc_id"))) & (F.col("d.key") == F.col("h.text_key")), "left").select(
-        "d.doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.lit("")).alias("spans")
+        "d.doc_id", "n_words", F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("word_spans", F.array().cast("array<array<long>>")).alias("word_spans")
     )

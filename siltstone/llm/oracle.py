@@ -84,7 +84,7 @@ crc AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8),
 sized AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size,
   xor(list_reduce({_BYTES}, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32 FROM documents, crc),
 counted AS (SELECT greatest({sharding.LEAST_BUCKETS}, (count(*) + {sharding.BUCKET_ROWS - 1}) // {sharding.BUCKET_ROWS}) AS buckets FROM (SELECT DISTINCT * FROM sized)),
-numbered AS (SELECT *, row_number() OVER (ORDER BY {_mixed('coalesce(doc_id, 0)', sharding.SEED)} % buckets, doc_id NULLS FIRST, size, text_crc32) - 1 AS number FROM sized, counted),
+numbered AS (SELECT *, row_number() OVER (ORDER BY {_mixed(f'(coalesce(doc_id, 0) % {sharding.BITS} + size % {sharding.BITS} + text_crc32 % {sharding.BITS})', sharding.SEED)} % buckets, doc_id NULLS FIRST, size, text_crc32) - 1 AS number FROM sized, counted),
 total AS (SELECT count(*) AS n, floor(sqrt(greatest(count(*) - 1, 0)))::BIGINT + 1 AS a FROM sized),
 start AS (SELECT number, n, a, (n + a - 1) // a AS b, number AS x FROM numbered, total),
 walk AS (SELECT * FROM {_feistel('start')} UNION ALL SELECT * FROM {_feistel('(SELECT * FROM walk WHERE x >= n)')})

@@ -12,6 +12,7 @@ import hashlib
 import itertools
 import json
 import re
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,7 +31,7 @@ TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{12,})\.([A-Za-z0-9_-]{2,}
 #: Where a run may begin: after anything outside the alphabet, and after the letter of an escaped line break.
 START = r"(?:(?<=\\[nr])|(?<=\\)(?![nr])|(?<![A-Za-z0-9+/_\\-]))"
 RUN = re.compile(START + r"[A-Za-z0-9+/_-]{40,}={0,2}")
-HEX_RUN = re.compile(r"(?:(?<=\\[nr])|(?<![0-9A-Za-z]))(?:0[xX])?((?:[0-9a-f]{2}){32,}|(?:[0-9A-F]{2}){32,})(?![0-9A-Za-z])")
+HEX_RUN = re.compile(r"(?:(?<=\\[nr])|(?<![0-9A-Za-z]))(?:0[xX])?((?:[0-9A-Fa-f]{2}){32,})(?![0-9A-Za-z])")
 #: A line break, escaped ones too, with the blanks around it.
 BREAK = re.compile(r"[ \t]*(?:(?:\\+r)?(?:\\+n)?(?:\r\n|\n|\r)|\\+r\\+n|\\+n|\\+r)[ \t]*")
 CHAIN = re.compile(START + r"[A-Za-z0-9+/_-]{16,}(?:" + BREAK.pattern + r"[A-Za-z0-9+/_-]+)+={0,2}")
@@ -130,7 +131,7 @@ def openssh_key(raw: bytes) -> bool:
         return False
     keys = int.from_bytes(raw[at : at + 4], "big")
     at += 4
-    return 1 <= keys <= 64 and all(take() for _ in range(keys + 1)) and at == len(raw) and bool(parts[0]) and len(parts[-1]) >= 8
+    return keys >= 1 and all(take() for _ in range(keys + 1)) and at == len(raw) and bool(parts[0]) and len(parts[-1]) >= 8
 
 
 def signed_token(header: str, payload: str) -> bool:
@@ -192,7 +193,7 @@ def der_size(head: bytes) -> int:
 
 def decoded(run: str) -> Iterator[bytes]:
     digits = run[2:] if run[:2] in ("0x", "0X") else run
-    if len(digits) % 2 == 0 and (re.fullmatch("[0-9a-f]+", digits) or re.fullmatch("[0-9A-F]+", digits)):
+    if len(digits) % 2 == 0 and re.fullmatch("[0-9A-Fa-f]+", digits):
         yield bytes.fromhex(digits)
     if (raw := unbase64(run)) is not None:
         yield raw
@@ -219,7 +220,21 @@ def joins(units: list[str]) -> Iterator[tuple[int, int]]:
         k = e + 1
 
 
-def chained(text: str, depth: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+class Taken:
+    """Disjoint spans, in order."""
+
+    def __init__(self):
+        self.spans: list[tuple[int, int]] = []
+
+    def free(self, a: int, b: int) -> bool:
+        at = bisect_right(self.spans, (a, b))
+        return (not at or self.spans[at - 1][1] <= a) and (at == len(self.spans) or self.spans[at][0] >= b)
+
+    def add(self, a: int, b: int) -> None:
+        insort(self.spans, (a, b))
+
+
+def chained(text: str, depth: int, taken: Taken) -> Iterator[tuple[int, int, str]]:
     """Spans of encodings wrapped over lines, outside of those taken, which grow."""
     for m in CHAIN.finditer(text):
         breaks = [b.span() for b in BREAK.finditer(text, m.start(), m.end())]
@@ -227,39 +242,40 @@ def chained(text: str, depth: int, taken: list[tuple[int, int]]) -> Iterator[tup
         units = [text[a:b] for a, b in spans]
         for i, j in joins(units):
             a, b = spans[i][0], spans[j][1]
-            if b - a < 40 or any(a < y and x < b for x, y in taken):
+            if b - a < 40 or not taken.free(a, b):
                 continue
             if kind := next((k for raw in decoded("".join(units[i : j + 1])) if (k := wrapped(raw, depth))), None):
-                taken.append((a, b))
+                taken.add(a, b)
                 yield a, b, kind
 
 
 def confirmed(text: str, depth: int = 1) -> Iterator[tuple[int, int, str]]:
-    """Spans that only decoding confirms.  A block's inner lines are not reported again."""
-    taken = []
+    """Spans that only decoding confirms.  A block's inner lines are not reported again.
+
+    What is decoded may be a text that again holds an encoding, ``depth`` times."""
+    taken = Taken()
     if "PRIVATE KEY-----" in text:
         for start, end, body in blocks(text):
             kind = armoured(body)
             if kind:
-                taken.append((start, end))
+                taken.add(start, end)
                 yield start, end, kind
     # The least lengths that the patterns below ask for.
     long = [x for x in text.split() if len(x) >= 16]
     if any("." in x for x in long):
         for m in TOKEN.finditer(text):
-            if signed_token(m[1], m[2]):
-                taken.append((m.start(), m.end()))
+            if taken.free(*m.span()) and signed_token(m[1], m[2]):
+                taken.add(*m.span())
                 yield m.start(), m.end(), "jwt"
     if not any(len(x) >= 40 for x in long) and len(long) < 2:
         return
-    free = lambda a, b: all(b <= x or a >= y for x, y in taken)
     for m in HEX_RUN.finditer(text):
-        if free(*m.span(1)) and (kind := wrapped(bytes.fromhex(m[1]), depth)):
-            taken.append(m.span(1))
+        if taken.free(*m.span(1)) and (kind := wrapped(bytes.fromhex(m[1]), depth)):
+            taken.add(*m.span(1))
             yield *m.span(1), kind
     for m in RUN.finditer(text):
-        if free(*m.span()) and (kind := wrapped(unbase64(m[0]), depth)):
-            taken.append(m.span())
+        if taken.free(*m.span()) and (kind := wrapped(unbase64(m[0]), depth)):
+            taken.add(*m.span())
             yield *m.span(), kind
     yield from chained(text, depth, taken)
 
@@ -272,7 +288,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_confirmed of every whole text.
 
     Spans are kind:start:end in code points, ends exclusive.  A null or empty text has none; its base_sha256 is that of
-    an empty string.  Equal rows each give a row; a null doc_id stays null; other columns are not read.
+    an empty string.  Encodings within decoded texts are found one layer deep.  Equal rows each give a row; a null doc_id stays null; other columns are not read.
     """
 
     def work():

@@ -63,24 +63,32 @@ def feistel(x: Column, n: int, seed: int = SEED) -> Column:
 
 
 def permuted(number: Column, n: int, seed: int = SEED) -> Column:
-    """The place of a row number.  The grid has fewer than a numbers too many, so that a walk ends after a steps at
-    most; 64 suffice for any n (beyond, a walk would need 64 of them in a row), and a longer one is an error."""
+    """The place of a row number.  The grid has fewer than a numbers too many, so that a walk ends after as many steps at
+    most.  All rows walk up to 64 steps, of which most take none; what is still outside then, in practice nothing, walks
+    on over the whole bound."""
     a, b = grid(n)
-    most = min(a * b - n, 64)
+    most = a * b - n
+
+    def walked(place: Column, steps: int) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), place, lambda p, _: F.when(p < n, p).otherwise(feistel(p, n, seed)))
+
     place = feistel(number, n, seed)
     if most:
-        place = F.aggregate(F.sequence(F.lit(1), F.lit(most)), place, lambda p, _: F.when(p < n, p).otherwise(feistel(p, n, seed)))
-    return F.when(place < n, place).otherwise(F.raise_error(F.lit("a cycle walk did not end")).cast("long"))
+        place = walked(place, min(most, 64))
+    if most > 64:
+        place = F.when(place < n, place).otherwise(walked(place, most - 64))
+    return place
 
 
 def numbered(keys: DataFrame, by: list[str], copies: str) -> tuple[DataFrame, int]:
     """Distinct ``keys`` with ``first``, the global number of the first of their copies, and the number of rows.
 
-    The order is: bucket of a hash of the first key, then the keys.  Only counts of buckets meet in one task.
+    The order is: bucket of a hash of the keys, then the keys; a hot first key is dealt by the others.  Only counts of
+    buckets meet in one task.
     """
     distinct, rows = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum(copies), F.lit(0))).first()
     buckets = bucket_count(distinct)
-    keys = keys.withColumn("bucket", bucket_of(F.col(by[0]), buckets))
+    keys = keys.withColumn("bucket", bucket_of([F.col(c) for c in by], buckets))
     per = keys.groupBy("bucket").agg(F.sum(copies).alias("rows"))
     per = per.select("bucket", (F.sum("rows").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("rows")).alias("before"))
     own = Window.partitionBy("bucket").orderBy(*[F.col(c).asc_nulls_first() for c in by])
@@ -92,8 +100,9 @@ def bucket_count(distinct: int) -> int:
     return max(LEAST_BUCKETS, -(-distinct // BUCKET_ROWS))
 
 
-def bucket_of(key: Column, buckets: int) -> Column:
-    return F.pmod(mix(F.coalesce(key, F.lit(0)).cast("long"), SEED), F.lit(buckets))
+def bucket_of(keys: list[Column], buckets: int) -> Column:
+    total = sum((F.coalesce(k, F.lit(0)).cast("long") % F.lit(BITS) for k in keys), F.lit(0).cast("long"))
+    return F.pmod(mix(total, SEED), F.lit(buckets))
 
 
 def shard_documents(df: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

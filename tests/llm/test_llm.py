@@ -348,6 +348,177 @@ def test_pipeline_keeps_different_documents_without_an_id_or_with_the_same(spark
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def clashing(df):
+    """With columns whose names the stages use inside."""
+    names = "row had text_hash kept all_lines n_lines n_removed line_nos node class_id root i k within may_match stays n rank scores".split()
+    return df.withColumns({c: F.lit(f"own {c}") for c in names})
+
+
+def test_pipeline_stages_alone(spark, tmp_path):
+    """Each stage over odd rows, ties, an empty table, and columns whose names clash."""
+    import corpus_pipeline as pipeline
+
+    more = [(20, "one two three four five six\nseven eight"), (21, "six five four three two one\nnew words here"), (21, "six five four three two one\nnew words here"), (22, "seven eight")]
+    given = [(i, t, "en", "s", len(t or "")) for i, t in ODD + more]
+    docs = clashing(spark.createDataFrame(given, "doc_id long, text string, lang string, source string, n_chars long"))
+    spark.createDataFrame([(i, t) for i, t, *_ in given], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "New WORDS here")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        assert all(r.root == "own root" and r.row == "own row" for r in out.collect()), name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    text = lambda stage: collections.Counter((r.doc_id, r.text) for r in stage(spark, docs, str(tmp_path)).collect())
+    kept = text(pipeline.new_lines)
+    assert kept[21, "new words here"] == 2 and (22, "seven eight") not in kept and kept[2, None] == 1 and kept[3, ""] == 1
+    alike = text(pipeline.one_of_each)
+    assert alike[4, "same text here of five words"] == 1 and (5, "same text here of five words") not in alike and alike[21, more[1][1]] == 1
+    assert text(pipeline.not_in_benchmark) == collections.Counter((i, t) for i, t in ODD + more if i != 21)
+    tokens = pipeline.tokens(spark, docs, str(tmp_path)).collect()
+    assert len(tokens) == len(given) and {len(r.ids) for r in tokens if r.doc_id in (2, 3)} == {0}
+
+
+def test_long_words_are_merged_as_by_the_library():
+    """Words of 1 to 100,000 bytes: by one pair a round, by all certain pairs a round, and by a heap."""
+    import numpy as np
+    import public_tokenizers
+    import tiktoken
+
+    ranks = bpe.ranks_of(open(tokenizer_file(bpe.VOCABULARY), "rb").read())
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    coder, r = bpe.Coder(ranks), random.Random(3)
+    words = ["a" * k for k in (1, 2, 3, 63, 64, 65, 1001)] + ["=" * 777, "ab" * 400, "theand" * 300, "漢字" * 90]
+    words += ["".join(r.choice("abcdefghijklmnopqrstuvwxyzé漢字") for _ in range(k)) for k in (10, 63, 64, 70, 200, 999, 5000, 100_000)]
+    words += ["".join(r.choice("etaoinsh"[: k % 7 + 2]) for _ in range(500)) for k in range(20)]
+    found = coder.encode(words)
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [library.encode_ordinary(w) for w in words]
+    assert coder.decode(found) == [w.encode() for w in words]
+    # Ids in several queries.
+    small = bpe.IDS_A_QUERY
+    try:
+        bpe.IDS_A_QUERY = 7
+        assert coder.decode(found[:30]) == [w.encode() for w in words[:30]]
+    finally:
+        bpe.IDS_A_QUERY = small
+
+
+def test_marginals_equal_an_enumeration_of_labels():
+    """Forward and backward passes against all label sequences, and scores in blocks against scores at once."""
+    import itertools
+
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    crf = crf_quality.Crf(1)
+    crf.t = r.normal(size=(2, 2))
+    lengths = np.array([3, 1, 6, 2])
+    starts = np.cumsum(lengths) - lengths
+    scores = r.normal(size=lengths.sum()) * 2
+    p, pair, log_z = crf.marginals(scores, starts, lengths)
+    for d, (a, n) in enumerate(zip(starts, lengths)):
+        weights = {y: np.exp(sum(scores[a + i] * y[i] for i in range(n)) + sum(crf.t[y[i], y[i + 1]] for i in range(n - 1))) for y in itertools.product((0, 1), repeat=int(n))}
+        z = sum(weights.values())
+        assert np.allclose(p[a : a + n], [sum(w for y, w in weights.items() if y[i]) / z for i in range(n)]) and np.isclose(log_z[d], np.log(z))
+    assert np.isclose(pair.sum(), (lengths - 1).sum())
+    flat = [" ".join(prose(i, i % 9)) + "." * (i % 3) for i in range(60)]
+    starts = np.array([0, 7, 8, 30, 59])
+    w = r.normal(size=3 * crf_quality.OWN + 1)
+    whole = crf_quality.chained(crf_quality.line_features(flat), starts) @ w
+    for most in (1, 2, 7, 100):
+        assert np.allclose(crf_quality.line_scores(flat, starts, w, most), whole, atol=1e-4)
+
+
+def test_base_secrets_equal_a_scan_by_character():
+    """Spans of the three patterns against a scan that tries every place with no pattern."""
+    names = ("password", "passwd", "secret", "token", "apikey", "api_key")
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def assign(t, i):
+        name = next((n for n in names if t[i : i + len(n)].lower() == n), None)
+        if name is None:
+            return None
+        j = i + len(name)
+        j += t[j : j + 1] in ('"', "'") and t[j : j + 1] != ""
+        while t[j : j + 1] == " ":
+            j += 1
+        if t[j : j + 1] not in (":", "=") or j >= len(t):
+            return None
+        j += 1
+        while t[j : j + 1] == " ":
+            j += 1
+        j += t[j : j + 1] != "" and t[j] in "\"'"
+        k = j
+        while k < len(t) and t[k] in value:
+            k += 1
+        return (k, k - j >= 12) if k > j else None
+
+    def run(t, i, head, alphabet, least):
+        if not t.startswith(head, i):
+            return None
+        k = i + len(head)
+        while k < len(t) and t[k] in alphabet:
+            k += 1
+        return (k, k - i >= least) if k > i + len(head) else None
+
+    ways = {"assign": assign, "access": lambda t, i: run(t, i, "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 18), "hex": lambda t, i: run(t, i, "", "0123456789abcdef", 16)}
+    r = random.Random(4)
+    bits = ["password", "PassWd", "token", "api_key", "apikey", "secret", '"', "'", " ", ":", "=", "AKIA", "ABCD1234", "deadbeef", "0123456789abcdef", "x", "-", "é", "\n", "ſecret"]
+    for _ in range(3000):
+        t = "".join(r.choice(bits) for _ in range(r.randint(0, 12)))
+        want = set()
+        for kind, way in ways.items():
+            i = 0
+            while i < len(t):
+                if (m := way(t, i)) is None:
+                    i += 1
+                    continue
+                if m[1]:
+                    want.add((i, m[0], kind))
+                i = m[0]
+        assert set(secrets.base_spans(t)) == want, t
+
+
+def test_secrets_stay_linear():
+    """Many tokens and many runs: spans are looked up in order."""
+    import time
+
+    part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).rstrip(b"=").decode()
+    token = f"{part({'alg': 'HS256'})}.{part({'sub': 1})}.sig_nature"
+    text = " ".join([token, base64.b64encode(bytes(range(40))).decode()] * 6000)
+    at = time.process_time()
+    assert sum(k == "jwt" for _, _, k in secrets.confirmed(text)) == 6000 and time.process_time() - at < 20
+    assert [k for _, _, k in secrets.confirmed("x " + "".join(c.upper() if i % 3 else c for i, c in enumerate(der(0x30, der(2, b"\0") + b"".join(der(2, bytes([9]) * 40) for _ in range(8))).hex())))] == ["der"]
+
+
+def test_blocks_of_items_change_nothing(spark):
+    r = random.Random(7)
+    items = [(k, " ".join(prose(k, r.choice([4, 12, 25]), 300))) for k in range(40)]
+    docs = [(i, " ".join(prose(900 + i, 15, 300) + items[r.randrange(40)][1].upper().split() + items[r.randrange(40)][1].split()[:14] + prose(i, 5, 300))) for i in range(60)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one, many = (rows(decontaminate.contamination(df, bench, bound=b)) for b in (1 << 20, 700))
+    assert one == many and sum(x[5] for x in one) == 60
+
+
+def test_line_dedup_of_long_and_frequent_lines(spark, monkeypatch):
+    """Lines of many distinct words, and lines of frequent words only, against brute force."""
+    monkeypatch.setattr(lines, "FREQUENT", 6)
+    r = random.Random(8)
+    common = [f"c{k}" for k in range(60)]
+    texts = []
+    for k in range(60):
+        n = r.choice([4, 5, 6, 9, 17, 33, 50])
+        base_line = r.sample(common, n)
+        texts.append(" ".join(base_line))
+        changed = base_line[: n - r.randint(0, max(1, n // 5))] + [f"u{k}_{j}" for j in range(r.randint(0, n // 6 + 1))]
+        texts.append(" ".join(r.sample(changed, len(changed))))
+    long = [f"w{k}" for k in range(20_000)]
+    texts += [" ".join(long), " ".join(long[:17_000] + [f"z{k}" for k in range(1_000)]), " ".join(long[:15_000] + [f"y{k}" for k in range(4_000)])]
+    got = {x.doc_id for x in lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), least_words=1).where("n_removed = 1").collect()}
+    sets = [frozenset(t.split()) for t in texts]
+    assert got == {i for i, x in enumerate(sets) if any(len(x & y) * 5 >= 4 * len(x | y) for y in sets[:i])}
+
+
 @pytest.mark.parametrize("name", ["op2_line_dedup", "op4_sharding", "op9_decontaminate"])
 def test_sql_agrees_on_odd_rows(spark, tmp_path, name):
     """The registered SQL gives the rows of the query over odd rows, repeated ones and empty tables too."""

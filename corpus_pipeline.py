@@ -17,13 +17,16 @@ from siltstone.llm.sieve import marked, sieve
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _rows_with_key(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``node``, the MD5 of the text: decisions are joined by it and doc_id."""
-    return docs.withColumn("node", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+def _packed(docs: DataFrame) -> DataFrame:
+    """``row`` (a document with all its columns, whatever their names), and its doc_id, text (null: empty), text_hash and
+    node (the MD5 of the text), by which decisions are joined."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.coalesce("row.text", F.lit(""))
+    return packed.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"), F.unhex(F.md5(text)).alias("node"))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents whose lines the field takes for bad.  Scores are joined to the rows they were made of: the
+    """Drops the documents whose lines the field takes for bad; a null or empty text is one empty line.  Scores are joined to the rows they were made of: the
     model runs on the rows themselves, so no text is shuffled."""
     return crf_quality.keep_good(docs, batches.read(spark, sf_dir, "documents"), batches.read(spark, sf_dir, "labels"))
 
@@ -31,10 +34,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes lines that match an earlier one.  A document of which nothing is left but white space goes, if it had
     something; n_chars follows the text."""
-    own = docs.withColumns({"had": F.coalesce("text", F.lit("")).rlike(r"\S"), "text_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
-    found = lines.duplicate_lines(lines.keyed(docs), least_words=1)
-    out = lines.removed(own, found).where("not had or text rlike '\\\\S'")
-    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    out = lines.removed(_packed(docs).drop("node"), lines.duplicate_lines(lines.keyed(docs), least_words=1))
+    had = F.coalesce("row.text", F.lit("")).rlike(r"\S")
+    changed = F.col("n_removed") > 0
+    new = {"text": F.when(changed, F.col("text")).otherwise(F.col("row.text")), "n_chars": F.when(changed, F.length("text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return out.where(~had | F.col("text").rlike(r"\S")).select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,17 +50,16 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     several = batches.cut(found.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).where("n > 1").select("root", "first"))
     inside = found.join(several, "root").select("doc_id", "node", "root", order.eqNullSafe(F.col("first")).alias("stays"))
     inside = batches.cut(inside.distinct())
-    rows = marked(_rows_with_key(docs), F.col("node"), sieve(inside, "node"))
-    alone = rows.where("not may_match").select(*docs.columns)
+    rows = marked(_packed(docs).select("row", "doc_id", "node"), F.col("node"), sieve(inside, "node"))
     named = inside.select(F.col("doc_id").alias("i"), F.col("node").alias("k"), "root", "stays")
     rest = rows.where("may_match").join(named, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("node") == F.col("k")), "left")
-    single = rest.where("stays is null").select(*docs.columns)
-    best = rest.where("stays").groupBy("root").agg(F.min(F.struct(*docs.columns)).alias("d"))
-    return alone.unionByName(single).unionByName(best.select("d.*"))
+    best = rest.where("stays").groupBy("root").agg(F.min("row").alias("row")).select("row")
+    kept = rows.where("not may_match").select("row").unionByName(rest.where("stays is null").select("row")).unionByName(best)
+    return kept.select("row.*")
 
 
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with a window of a test item."""
+    """Drops documents with a window of a test item; a null text has none."""
     return decontaminate.keep_clean(docs, batches.read(spark, sf_dir, "benchmark"))
 
 
@@ -84,4 +87,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:  # the stage before is read no more
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}")
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     return docs

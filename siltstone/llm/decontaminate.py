@@ -1,8 +1,8 @@
 """Benchmark decontamination by one Aho-Corasick automaton over the windows of all test items.
 
-Texts are lower-cased in A-Z and cut into words, which become numbers: those of the items' words, and 0 for any other.
-The automaton goes over the numbers, so that it has a node for a word and not for each of its letters; each text is
-scanned once.  Hits are word positions, which map back to code points of the original text.  The items are sent to the
+Texts are lower-cased in A-Z and cut into words, each of which becomes one character: those of the items' words, and NUL
+for any other.  The automaton goes over these, so that it has a node for a word and not for each of its letters; each text
+is scanned once.  Hits are word positions, which map back to code points of the original text.  The items are sent to the
 workers only while their bytes stay under a bound; beyond it they go through in blocks of that bound, and the blocks' hits
 are put together, which gives the same rows.
 """
@@ -38,16 +38,21 @@ def windows(text: str | None, size: int = WINDOW) -> list[tuple[bytes, ...]]:
     return [item[i : i + size] for i in range(max(1, len(item) - size + 1))] if item else []
 
 
+def character(k: int) -> str:
+    """The k-th character from 1 on, without surrogates."""
+    return chr(k if k < 0xD800 else k + 0x800)
+
+
 class Scanner:
     def __init__(self, items: list[tuple[str, str]], size: int = WINDOW):
         import ahocorasick
 
-        self.number: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        self.of: dict[bytes, str] = {}
+        found: dict[str, set[str]] = {}
         for item, text in items:
             for window in windows(text, size):
-                found.setdefault(tuple(self.number.setdefault(w, len(self.number) + 1) for w in window), set()).add(item)
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+                found.setdefault("".join([self.of.setdefault(w, character(len(self.of) + 1)) for w in window]), set()).add(item)
+        self.automaton = ahocorasick.Automaton()
         for window, names in found.items():
             self.automaton.add_word(window, (len(window), tuple(sorted(names))))
         if found:
@@ -59,9 +64,9 @@ class Scanner:
         own = words(text)
         if not self.any or not own:
             return len(own), [], []
-        of = self.number.get
+        of = self.of.get
         spans, names = [], set()
-        for last, (width, items) in self.automaton.iter(tuple([of(w, 0) for w in own])):
+        for last, (width, items) in self.automaton.iter("".join([of(w, "\0") for w in own])):
             names.update(items)
             spans.append((last - width + 1, last + 1))
         merged: list[tuple[int, int]] = []

@@ -497,7 +497,7 @@ def test_blocks_of_items_change_nothing(spark):
     items = [(k, " ".join(prose(k, r.choice([4, 12, 25]), 300))) for k in range(40)]
     docs = [(i, " ".join(prose(900 + i, 15, 300) + items[r.randrange(40)][1].upper().split() + items[r.randrange(40)][1].split()[:14] + prose(i, 5, 300))) for i in range(60)]
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    one, many = (rows(decontaminate.contamination(df, bench, bound=b)) for b in (1 << 20, 700))
+    one, many = (rows(decontaminate.contamination(df, bench, bound=b)) for b in (1 << 20, 3000))
     assert one == many and sum(x[5] for x in one) == 60
 
 

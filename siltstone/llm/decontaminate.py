@@ -1,8 +1,8 @@
 """Benchmark decontamination by one Aho-Corasick automaton over the windows of all test items.
 
-Texts are lower-cased in A-Z and cut into words, each of which becomes one character: those of the items' words, and NUL
-for any other.  The automaton goes over these, so that it has a node for a word and not for each of its letters; each text
-is scanned once.  Hits are word positions, which map back to code points of the original text.  The items are sent to the
+Texts are lower-cased in A-Z and cut into words, each of which becomes three characters: the digits of its number among the
+items' words, or NULs for any other.  The automaton goes over these, so that it has three nodes a word and not one a letter,
+and none with more than a few dozen followers, which it looks through one by one; each text is scanned once.  Hits are word positions, which map back to code points of the original text.  The items are sent to the
 workers only while their bytes stay under a bound; beyond it they go through in blocks of that bound, and the blocks' hits
 are put together, which gives the same rows.
 """
@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from siltstone.llm.batches import cut, documents, map_slices, slices
 
 WINDOW = 10
-#: Bytes of item texts in one automaton.  A window has ten nodes of some 40 bytes, and an item's byte is a sixth of a
-#: window, so that this is some 150 MB a worker.
-AUTOMATON_BYTES = 2 << 20
+#: Bytes of item texts in one automaton.  A window has thirty nodes of some 40 bytes, and an item's byte is a sixth
+#: of a window, so that this is some 200 MB a worker at most.
+AUTOMATON_BYTES = 1 << 20
 
 #: Of UTF-8 bytes: A-Z to lower case, other word bytes as they are, the rest to blanks.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -38,9 +38,14 @@ def windows(text: str | None, size: int = WINDOW) -> list[tuple[bytes, ...]]:
     return [item[i : i + size] for i in range(max(1, len(item) - size + 1))] if item else []
 
 
-def character(k: int) -> str:
-    """The k-th character from 1 on, without surrogates."""
-    return chr(k if k < 0xD800 else k + 0x800)
+DIGITS = 3
+OTHER = "\0" * DIGITS
+
+
+def code(k: int) -> str:
+    """The number k as digits of 64, the highest first; each place has characters of its own, so that no match begins
+    within a word."""
+    return chr(0x100 + (k >> 12)) + chr(0x30 + (k >> 6 & 63)) + chr(0x80 + (k & 63))
 
 
 class Scanner:
@@ -51,10 +56,10 @@ class Scanner:
         found: dict[str, set[str]] = {}
         for item, text in items:
             for window in windows(text, size):
-                found.setdefault("".join([self.of.setdefault(w, character(len(self.of) + 1)) for w in window]), set()).add(item)
+                found.setdefault("".join([self.of.setdefault(w, code(len(self.of))) for w in window]), set()).add(item)
         self.automaton = ahocorasick.Automaton()
         for window, names in found.items():
-            self.automaton.add_word(window, (len(window), tuple(sorted(names))))
+            self.automaton.add_word(window, (len(window) // DIGITS, tuple(sorted(names))))
         if found:
             self.automaton.make_automaton()
         self.any = bool(found)
@@ -66,7 +71,8 @@ class Scanner:
             return len(own), [], []
         of = self.of.get
         spans, names = [], set()
-        for last, (width, items) in self.automaton.iter("".join([of(w, "\0") for w in own])):
+        for end, (width, items) in self.automaton.iter("".join([of(w, OTHER) for w in own])):
+            last = end // DIGITS
             names.update(items)
             spans.append((last - width + 1, last + 1))
         merged: list[tuple[int, int]] = []

@@ -5,8 +5,8 @@ Between classes: the words of a line are ordered by rarity, a line is filed unde
 share a key and pass the length and positional filters (and one of 64 bits over all words) are candidates, and the
 candidates' full word sets decide.  A line that matches an earlier one is removed.
 
-Texts are cut into words twice and never shuffled for it: to count words, and to write a row for each line with its keys
-and its text, of which later steps read the columns they need.  Rarity is a count of all words in a fixed number of hash
+Texts are cut into words twice and never shuffled for it: to count words, and to write a row for each line with its keys.
+For the last check they are cut into lines again, and only the lines of candidates go on.  Rarity is a count of all words in a fixed number of hash
 buckets, so the order is a table of fixed size; ties are broken by hash, and any one order gives the same pairs.
 
 A frequent word gives no key of its own.  Sets that are alike and share no rare word of their prefixes share B + 1
@@ -103,23 +103,24 @@ def _parts(n: Column) -> Column:
 
 def prepared(docs: DataFrame, ranks: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """A row for each line that takes part: doc_id, text_hash, line_no (these give the order of lines), k1 and k2 (two
-    hashes of the set of words), n, bits (one set for every word's hash modulo 64: two sets differ in at least as many
-    words as bits), filed (key, position in the order and maybe_heavy of each filing) and line (its text).
+    hashes of the set of words), n, bits (each word flips the one of its hash modulo 64: two sets differ in at least as
+    many words as bits, and long sets don't fill them) and filed (key, position in the order and maybe_heavy of each
+    filing).
 
     The words are made inside the generator, which gives them once; a filter on a later column would split anew."""
     enough = lambda x: F.size(x["hashes"]) >= 1
     if least_words > 1:
         enough = lambda x: F.size(_words(x["line"])) >= least_words
     lines = F.filter(F.transform(_lines(F.col("text")), lambda x, i: F.struct(i.alias("line_no"), _hashes(_words(x)).alias("hashes"), x.alias("line"))), enough)
-    out = docs.select("doc_id", "text_hash", F.explode(lines).alias("l")).select("doc_id", "text_hash", "l.line_no", "l.hashes", "l.line", ranks.scalar().alias("ranks"))
+    out = docs.select("doc_id", "text_hash", F.explode(lines).alias("l")).select("doc_id", "text_hash", "l.line_no", "l.hashes", ranks.scalar().alias("ranks"))
     # A subquery's value enters the function that uses it once the projections are merged; no row carries the table.
     # Words become numbers that sort by rarity.
     rank = lambda h: F.get("ranks", _bucket(h).cast("int")).cast("long")
     order = F.sort_array(F.transform("hashes", lambda h: F.shiftleft(rank(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
-    bits = F.aggregate("hashes", F.lit(0).cast("long"), lambda s, h: s.bitwiseOR(_shift("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)))))
-    keep = ("doc_id", "text_hash", "line_no", "k1", "k2", "n", "bits", "line")
+    bits = F.aggregate("hashes", F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(_shift("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)))))
+    keep = ("doc_id", "text_hash", "line_no", "k1", "k2", "n", "bits")
     n = F.col("n")
-    out = out.select("doc_id", "text_hash", "line_no", F.xxhash64("hashes").alias("k1"), F.xxhash64(F.lit(7), "hashes").alias("k2"), F.size("hashes").alias("n"), bits.alias("bits"), "line", order.alias("order"))
+    out = out.select("doc_id", "text_hash", "line_no", F.xxhash64("hashes").alias("k1"), F.xxhash64(F.lit(7), "hashes").alias("k2"), F.size("hashes").alias("n"), bits.alias("bits"), order.alias("order"))
     out = out.select(*keep, F.when(n >= LEAST_FILED, F.slice("order", 1, _prefix(n) + _parts(n))).alias("order"))
     out = out.select("*", F.filter(F.slice("order", 1, _prefix(n)), lambda w: w < F.lit((_rank(FREQUENT) + 1) << 56)).alias("rare"))
     out = out.select("*", F.when(F.size("rare") < _prefix(n), F.slice("order", F.size("rare") + 1, F.size("order"))).alias("frequent"))
@@ -166,7 +167,7 @@ def repeats(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     several = written(lines.groupBy("k1", "k2").agg(F.min(pos).alias("first_pos"), F.count(F.lit(1)).alias("members")).where("members > 1"))
     total = lines.count()
     passed = written(sieve(several, "k1"))
-    mine = marked(lines.drop("line"), F.col("k1"), passed).where("may_match").drop("may_match")
+    mine = marked(lines, F.col("k1"), passed).where("may_match").drop("may_match")
     least = max(total // HOT_ONE_IN, 1)
     # No more than HOT_ONE_IN classes have so many lines: they are broadcast, the rest is joined by shuffle.
     hot = F.broadcast(several.where(F.col("members") > least))
@@ -176,14 +177,14 @@ def repeats(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = one.unionByName(many)
     first = F.col("first_pos").isNull() | (pos == F.col("first_pos"))
     both = both.withColumn("first", first).withColumn("filed", F.when(F.col("first"), F.col("filed")))
-    out = written(both.select(*(c for c in lines.columns if c != "line"), "first"))
+    out = written(both.select(*lines.columns, "first"))
     dropped(several)
     return out, passed
 
 
 def classes_of(lines: DataFrame, repeated: DataFrame, passed: DataFrame) -> DataFrame:
     """One row a class: its first line."""
-    alone = marked(lines, F.col("k1"), passed).where("not may_match").drop("may_match", "k2", "line")
+    alone = marked(lines, F.col("k1"), passed).where("not may_match").drop("may_match", "k2")
     firsts = repeated.where("first").drop("first").dropDuplicates(["k1", "k2"]).drop("k2")
     return alone.unionByName(firsts).where(F.col("n") >= LEAST_FILED)
 
@@ -243,15 +244,20 @@ def rest_pairs(heavy: DataFrame, found: DataFrame) -> DataFrame:
     return _pairs(near, heavy.withColumn("band", band), (F.col("x.k1") != F.col("y.k1")) & (F.col("y.doc") <= F.col("x.doc")), ("key", "band"))
 
 
-def class_sets(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """k1, pos and words (in one string, which takes a third of an array's space) of the classes in ``ids``, from their
-    first lines."""
-    at = ("k1", "doc_id", "text_hash", "line_no")
-    likely = marked(lines.select(*at, "line"), F.col("k1"), written(sieve(ids, "k1"))).where("may_match").groupBy(*at).agg(F.first("line").alias("line"))
+def class_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """k1, pos and words (in one string, which takes a third of an array's space) of the classes in ``ids``, from the
+    documents of their first lines."""
+    at = ("doc_id", "text_hash", "line_no")
+    passed = written(sieve(ids.select(F.xxhash64(*at).alias("place")), "place"))
+    every = docs.select("doc_id", "text_hash", F.posexplode(_lines(F.col("text"))).alias("line_no", "line"))
+    likely = marked(every, F.xxhash64(*at), passed).where("may_match").groupBy(*at).agg(F.first("line").alias("line"))
     same = F.lit(True)
     for c in at:
         same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"i.{c}"))
-    return likely.alias("l").join(ids.alias("i"), same).select("l.k1", F.struct("l.doc_id", "l.text_hash", "l.line_no").alias("pos"), F.array_join(F.array_distinct(_words(F.col("l.line"))), " ").alias("words"))
+    out = likely.alias("l").join(ids.alias("i"), same).select("i.k1", F.struct("l.doc_id", "l.text_hash", "l.line_no").alias("pos"), F.array_join(F.array_distinct(_words(F.col("l.line"))), " ").alias("words"))
+    out = written(out)
+    dropped(passed)
+    return out
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -266,6 +272,17 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(alike).select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("k1"), F.when(later, F.col("a_pos")).otherwise(F.col("b_pos")).alias("pos"))
 
 
+def alike(docs: DataFrame, named: DataFrame, pairs: DataFrame) -> DataFrame:
+    """k1 and pos of the later class of each of ``pairs`` that is alike, as a table; ``named`` has the classes' places.
+    Only the lines of these pairs are read again."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
+    ids = written(named.join(wanted, "k1", "left_semi"))
+    sets = class_sets(docs, ids)
+    out = written(verified(pairs, sets).distinct())
+    dropped(ids, sets)
+    return out
+
+
 def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, text_hash and line_nos (an array) of the lines that match an earlier line; ``docs`` as from ``keyed``.
 
@@ -277,23 +294,24 @@ def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
     heavy_keys = written(filed.where("maybe_heavy").groupBy("key").agg(F.count(F.lit(1)).alias("filings")).where(F.col("filings") > HEAVY))
     # Some keys of few filings are treated as heavy ones, which gives the same result.  The filings are a table, so that
     # both sides of the join below are one exchange.
-    filed = marked(filed, F.col("key"), written(sieve(heavy_keys, "key")))
+    heavy_sieve = written(sieve(heavy_keys, "key"))
+    filed = marked(filed, F.col("key"), heavy_sieve)
     filed = written(filed.select(*FILING, "doc", (F.col("maybe_heavy") & F.col("may_match")).alias("heavy")))
+    named = written(classes_of(lines, repeated, passed).select("k1", "doc_id", "text_hash", "line_no"))
+    dropped(ranks, lines, passed, heavy_keys, heavy_sieve)
     heavy = filed.where("heavy").drop("heavy")
     light = filed.where("not heavy").select(*FILING)
-    few = written(light_pairs(light))
-    few = written(few.unionByName(first_pairs(heavy)).distinct())
-    wanted = few.select(F.explode(F.array("a", "b")).alias("k1")).unionByName(heavy.select("k1")).distinct()
-    named = classes_of(lines, repeated, passed).select("k1", "doc_id", "text_hash", "line_no")
-    ids = written(named.join(wanted, "k1", "left_semi"))
-    sets = written(class_sets(lines, ids))
-    dropped(ranks, lines, passed, heavy_keys)
-    near = written(verified(few, sets).distinct())
-    rest = written(verified(rest_pairs(heavy, near.select("k1").distinct()), sets))
+    under_light = written(light_pairs(light))
+    few = written(under_light.unionByName(first_pairs(heavy)).distinct())
+    dropped(under_light)
+    near = alike(docs, named, few)
+    more = written(rest_pairs(heavy, near.select("k1").distinct()))
+    dropped(filed, few)
+    rest = alike(docs, named, more)
     equal = repeated.where("not first").select(F.struct("doc_id", "text_hash", "line_no").alias("pos"))
     every = equal.unionByName(near.select("pos")).unionByName(rest.select("pos"))
     found = written(every.groupBy("pos.doc_id", "pos.text_hash").agg(F.collect_set("pos.line_no").alias("line_nos")))
-    dropped(filed, few, ids, sets)
+    dropped(repeated, named, more, near, rest)
     return found
 
 

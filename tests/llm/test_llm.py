@@ -520,6 +520,22 @@ def test_line_dedup_of_long_and_frequent_lines(spark, monkeypatch):
     assert got == {i for i, x in enumerate(sets) if any(len(x & y) * 5 >= 4 * len(x | y) for y in sets[:i])}
 
 
+def test_line_dedup_keeps_no_text_and_no_table(spark):
+    """Lines that are no candidates are written nowhere, and of all tables only the result is left."""
+    from pathlib import Path
+
+    from siltstone.llm import batches
+
+    r = random.Random(3)
+    docs = lines.keyed(spark.createDataFrame([(i, " ".join(f"w{r.randrange(500)}" for _ in range(12))) for i in range(50)], "doc_id long, text string"))
+    assert "line" not in lines.prepared(docs, lines.rarity(docs)).columns
+    batches.shared_folder(spark)
+    folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    before = set(folder.iterdir())
+    found = lines.duplicate_lines(docs)
+    assert [x.name for x in set(folder.iterdir()) - before] == [Path(found._written_to).name]
+
+
 @pytest.mark.parametrize("name", ["op2_line_dedup", "op4_sharding", "op9_decontaminate"])
 def test_sql_agrees_on_odd_rows(spark, tmp_path, name):
     """The registered SQL gives the rows of the query over odd rows, repeated ones and empty tables too."""

@@ -2,7 +2,7 @@
 
 A line is the set of its words, which white space of any kind separates.  Equal sets are classes, found by aggregation.
 Between classes: the words of a line are ordered by rarity, a line is filed under the words of its prefix, lines that
-share a key and pass the length and positional filters (and one of 64 bits over all words) are candidates, and the
+share a key and pass the length and positional filters (and one of 128 bits over all words) are candidates, and the
 candidates' full word sets decide.  A line that matches an earlier one is removed.
 
 Texts are cut into words twice and never shuffled for it: to count words, and to write a row for each line with its keys.
@@ -40,7 +40,7 @@ HEAVY, SALTS = 64, 8
 #: White space but the blank and the line feed.  The range before the list spares most characters a walk through it.
 BLANKS = r"[\t\x0B\f\r\x{85}-\x{3000}&&[\t\x0B\f\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]]"
 
-FILING = ("key", "k1", "bits", "sizes")
+FILING = ("key", "k1", "low", "high", "sizes")
 
 
 def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,9 +103,9 @@ def _parts(n: Column) -> Column:
 
 def prepared(docs: DataFrame, ranks: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """A row for each line that takes part: doc_id, text_hash, line_no (these give the order of lines), k1 and k2 (two
-    hashes of the set of words), n, bits (each word flips the one of its hash modulo 64: two sets differ in at least as
-    many words as bits, and long sets don't fill them) and filed (key, position in the order and maybe_heavy of each
-    filing).
+    hashes of the set of words), n, low and high (128 bits, of which each word flips the one of its hash modulo 128: two
+    sets differ in at least as many words as bits, and long sets don't fill them) and filed (key, position in the order
+    and maybe_heavy of each filing).
 
     The words are made inside the generator, which gives them once; a filter on a later column would split anew."""
     enough = lambda x: F.size(x["hashes"]) >= 1
@@ -117,10 +117,11 @@ def prepared(docs: DataFrame, ranks: DataFrame, least_words: int = LEAST_WORDS)
     # Words become numbers that sort by rarity.
     rank = lambda h: F.get("ranks", _bucket(h).cast("int")).cast("long")
     order = F.sort_array(F.transform("hashes", lambda h: F.shiftleft(rank(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
-    bits = F.aggregate("hashes", F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(_shift("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)))))
-    keep = ("doc_id", "text_hash", "line_no", "k1", "k2", "n", "bits")
+    one = lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(1).cast("long"))
+    low, high = (F.aggregate("hashes", F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(_shift("shiftleft", bit(h), h.bitwiseAND(F.lit(63))))) for bit in (lambda h: F.lit(1).cast("long") - one(h), one))
+    keep = ("doc_id", "text_hash", "line_no", "k1", "k2", "n", "low", "high")
     n = F.col("n")
-    out = out.select("doc_id", "text_hash", "line_no", F.xxhash64("hashes").alias("k1"), F.xxhash64(F.lit(7), "hashes").alias("k2"), F.size("hashes").alias("n"), bits.alias("bits"), order.alias("order"))
+    out = out.select("doc_id", "text_hash", "line_no", F.xxhash64("hashes").alias("k1"), F.xxhash64(F.lit(7), "hashes").alias("k2"), F.size("hashes").alias("n"), low.alias("low"), high.alias("high"), order.alias("order"))
     out = out.select(*keep, F.when(n >= LEAST_FILED, F.slice("order", 1, _prefix(n) + _parts(n))).alias("order"))
     out = out.select("*", F.filter(F.slice("order", 1, _prefix(n)), lambda w: w < F.lit((_rank(FREQUENT) + 1) << 56)).alias("rare"))
     out = out.select("*", F.when(F.size("rare") < _prefix(n), F.slice("order", F.size("rare") + 1, F.size("order"))).alias("frequent"))
@@ -190,12 +191,12 @@ def classes_of(lines: DataFrame, repeated: DataFrame, passed: DataFrame) -> Data
 
 
 def filings(classes: DataFrame) -> DataFrame:
-    """For each key under which a class is filed: key, k1, bits, sizes (the set's size and the position of the key's first
+    """For each key under which a class is filed: key, k1, low, high, sizes (the set's size and the position of the key's first
     word in the order, in one number), doc and maybe_heavy, false if the key can't have many filings."""
     doc = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc")
-    out = classes.select("k1", "bits", "n", doc, F.explode("filed").alias("f"))
+    out = classes.select("k1", "low", "high", "n", doc, F.explode("filed").alias("f"))
     sizes = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("f.at").cast("long")).alias("sizes")
-    return out.select("f.key", "k1", "bits", sizes, "doc", "f.maybe_heavy")
+    return out.select("f.key", "k1", "low", "high", sizes, "doc", "f.maybe_heavy")
 
 
 def passes(xs: str, ys: str) -> Column:
@@ -205,7 +206,8 @@ def passes(xs: str, ys: str) -> Column:
     same_size = (xn * DENOMINATOR >= yn * NUMERATOR) & (yn * DENOMINATOR >= xn * NUMERATOR)
     # The key's first word and those after it must make up the wanted overlap, 4/9 of both sizes.
     enough = F.least(xn - x_at, yn - y_at) * (NUMERATOR + DENOMINATOR) >= (xn + yn) * NUMERATOR
-    near = F.bit_count(F.col(f"{xs}.bits").bitwiseXOR(F.col(f"{ys}.bits"))) * (NUMERATOR + DENOMINATOR) <= xn + yn
+    apart = sum(F.bit_count(F.col(f"{xs}.{c}").bitwiseXOR(F.col(f"{ys}.{c}"))) for c in ("low", "high"))
+    near = apart * (NUMERATOR + DENOMINATOR) <= xn + yn
     return near & same_size & enough
 
 
@@ -225,13 +227,14 @@ def light_pairs(light: DataFrame) -> DataFrame:
 
 def first_pairs(heavy: DataFrame) -> DataFrame:
     """Candidates of each filing with at most SALTS early ones under its key: as many as filings, times SALTS."""
-    early = heavy.groupBy("key", F.pmod("k1", F.lit(SALTS)).alias("salt")).agg(F.min_by(F.struct("k1", "bits", "sizes"), F.struct("doc", "k1")).alias("f")).select("key", "f.*")
+    early = heavy.groupBy("key", F.pmod("k1", F.lit(SALTS)).alias("salt")).agg(F.min_by(F.struct("k1", "low", "high", "sizes"), F.struct("doc", "k1")).alias("f")).select("key", "f.*")
     return _pairs(heavy, early, F.col("x.k1") != F.col("y.k1"))
 
 
 def _band(n: Column) -> Column:
-    """Sizes by powers of 5/4: sets that are alike are in the same band or in neighbouring ones."""
-    return F.floor(F.log(n.cast("double")) / F.log(F.lit(DENOMINATOR / NUMERATOR)) + F.lit(1e-9)).cast("int")
+    """Sizes by powers of (5/4)², not rounded; sets that are alike to one are in no more than two bands, or three where
+    rounding leaves it open."""
+    return F.log(n.cast("double")) / F.log(F.lit((DENOMINATOR / NUMERATOR) ** 2))
 
 
 def rest_pairs(heavy: DataFrame, found: DataFrame) -> DataFrame:
@@ -240,8 +243,8 @@ def rest_pairs(heavy: DataFrame, found: DataFrame) -> DataFrame:
     maybe = split.where("may_match").drop("may_match").join(found, "k1", "left_anti").select(*heavy.columns)
     undecided = split.where("not may_match").drop("may_match").unionByName(maybe)
     band = _band(F.shiftright("sizes", 32))
-    near = undecided.withColumn("band", F.explode(F.array(band - 1, band, band + 1)))
-    return _pairs(near, heavy.withColumn("band", band), (F.col("x.k1") != F.col("y.k1")) & (F.col("y.doc") <= F.col("x.doc")), ("key", "band"))
+    near = undecided.withColumn("band", F.explode(F.sequence(F.floor(band - 0.5 - 1e-6), F.floor(band + 0.5 + 1e-6))))
+    return _pairs(near, heavy.withColumn("band", F.floor(band)), (F.col("x.k1") != F.col("y.k1")) & (F.col("y.doc") <= F.col("x.doc")), ("key", "band"))
 
 
 def class_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:

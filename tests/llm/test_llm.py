@@ -536,6 +536,22 @@ def test_line_dedup_keeps_no_text_and_no_table(spark):
     assert [x.name for x in set(folder.iterdir()) - before] == [Path(found._written_to).name]
 
 
+def test_line_dedup_tells_long_lines_apart(spark, monkeypatch):
+    """Long lines of the same words that are not alike are no candidates, neither under light keys nor under heavy ones;
+    sizes at the threshold are."""
+    r = random.Random(4)
+    texts = [" ".join(r.sample([f"w{k}" for k in range(400)], 150)) for _ in range(40)]
+    for n in (4, 8, 20, 40, 100, 260):
+        words = [f"n{n}_{k}" for k in range(n * 5 // 4)]
+        texts += [" ".join(words), " ".join(words[:n])]
+    docs = lines.keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    monkeypatch.setattr(lines, "SALTS", 1)
+    filed = lines.filings(lines.prepared(docs, lines.rarity(docs))).drop("maybe_heavy").localCheckpoint()
+    light = lines.light_pairs(filed.drop("doc")).localCheckpoint()
+    none = spark.createDataFrame([], "k1 long")
+    assert 5 <= light.count() < 20 and sorted(lines.rest_pairs(filed, none).collect()) == sorted(light.collect())
+
+
 @pytest.mark.parametrize("name", ["op2_line_dedup", "op4_sharding", "op9_decontaminate"])
 def test_sql_agrees_on_odd_rows(spark, tmp_path, name):
     """The registered SQL gives the rows of the query over odd rows, repeated ones and empty tables too."""

@@ -34,9 +34,12 @@ RARITY_BUCKETS, RANKS_A_BIT = 1 << 22, 4
 FREQUENT = 512
 #: A class of more than one in so many lines is hot: it is broadcast, and there are no more of them than this.
 HOT_ONE_IN = 1_000
-#: A key with more filings is heavy: each filing is first compared with SALTS early ones, and only what has no match by
-#: then with the rest.  So a group of lines that are all alike costs a comparison a line, not one a pair.
-HEAVY, SALTS = 64, 8
+#: A key with more filings is heavy if more than one in MARKED of them have one mark (lines that are alike mostly have the
+#: same), and with MIXED times as many whatever their marks.  Under a heavy key each filing is first compared
+#: with an early one, of SALTS that its keys have between them, and only what has no match by then with the rest.  So a
+#: group of lines that are all alike costs a comparison a line, not one a pair.  A word that isn't frequent has fewer than
+#: HEAVY * MIXED filings: lines that merely share it are compared at once, which is cheaper than to part them.
+HEAVY, MARKED, MIXED, SALTS = 64, 4, 16, 8
 #: White space but the blank and the line feed.  The range before the list spares most characters a walk through it.
 BLANKS = r"[\t\x0B\f\r\x{85}-\x{3000}&&[\t\x0B\f\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]]"
 
@@ -104,8 +107,8 @@ def _parts(n: Column) -> Column:
 def prepared(docs: DataFrame, ranks: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """A row for each line that takes part: doc_id, text_hash, line_no (these give the order of lines), k1 and k2 (two
     hashes of the set of words), n, low and high (128 bits, of which each word flips the one of its hash modulo 128: two
-    sets differ in at least as many words as bits, and long sets don't fill them) and filed (key, position in the order
-    and maybe_heavy of each filing).
+    sets differ in at least as many words as bits, and long sets don't fill them), mark (by the least and
+    the greatest hash) and filed (key, position in the order and maybe_heavy of each filing).
 
     The words are made inside the generator, which gives them once; a filter on a later column would split anew."""
     enough = lambda x: F.size(x["hashes"]) >= 1
@@ -119,9 +122,11 @@ def prepared(docs: DataFrame, ranks: DataFrame, least_words: int = LEAST_WORDS)
     order = F.sort_array(F.transform("hashes", lambda h: F.shiftleft(rank(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
     one = lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(1).cast("long"))
     low, high = (F.aggregate("hashes", F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(_shift("shiftleft", bit(h), h.bitwiseAND(F.lit(63))))) for bit in (lambda h: F.lit(1).cast("long") - one(h), one))
-    keep = ("doc_id", "text_hash", "line_no", "k1", "k2", "n", "low", "high")
+    eight = lambda at: F.get("hashes", at).bitwiseAND(F.lit(255))
+    mark = (eight(F.lit(0)) * 256 + eight(F.size("hashes") - 1)).cast("int")
+    keep = ("doc_id", "text_hash", "line_no", "k1", "k2", "n", "low", "high", "mark")
     n = F.col("n")
-    out = out.select("doc_id", "text_hash", "line_no", F.xxhash64("hashes").alias("k1"), F.xxhash64(F.lit(7), "hashes").alias("k2"), F.size("hashes").alias("n"), low.alias("low"), high.alias("high"), order.alias("order"))
+    out = out.select("doc_id", "text_hash", "line_no", F.xxhash64("hashes").alias("k1"), F.xxhash64(F.lit(7), "hashes").alias("k2"), F.size("hashes").alias("n"), low.alias("low"), high.alias("high"), mark.alias("mark"), order.alias("order"))
     out = out.select(*keep, F.when(n >= LEAST_FILED, F.slice("order", 1, _prefix(n) + _parts(n))).alias("order"))
     out = out.select("*", F.filter(F.slice("order", 1, _prefix(n)), lambda w: w < F.lit((_rank(FREQUENT) + 1) << 56)).alias("rare"))
     out = out.select("*", F.when(F.size("rare") < _prefix(n), F.slice("order", F.size("rare") + 1, F.size("order"))).alias("frequent"))
@@ -192,11 +197,17 @@ def classes_of(lines: DataFrame, repeated: DataFrame, passed: DataFrame) -> Data
 
 def filings(classes: DataFrame) -> DataFrame:
     """For each key under which a class is filed: key, k1, low, high, sizes (the set's size and the position of the key's first
-    word in the order, in one number), doc and maybe_heavy, false if the key can't have many filings."""
+    word in the order, in one number), doc, mark and maybe_heavy, false if the key can't have many filings."""
     doc = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc")
-    out = classes.select("k1", "low", "high", "n", doc, F.explode("filed").alias("f"))
+    out = classes.select("k1", "low", "high", "n", doc, "mark", F.explode("filed").alias("f"))
     sizes = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("f.at").cast("long")).alias("sizes")
-    return out.select("f.key", "k1", "low", "high", sizes, "doc", "f.maybe_heavy")
+    return out.select("f.key", "k1", "low", "high", sizes, "doc", "mark", "f.maybe_heavy")
+
+
+def heavy_keys(filed: DataFrame) -> DataFrame:
+    """The heavy ones among the keys, by counts of each key's marks."""
+    cells = filed.where("maybe_heavy").groupBy("key", "mark").agg(F.count(F.lit(1)).alias("filings"))
+    return cells.groupBy("key").agg(F.max("filings").alias("alike"), F.sum("filings").alias("filings")).where((F.col("filings") > HEAVY) & ((F.col("alike") * MARKED > F.col("filings")) | (F.col("filings") > HEAVY * MIXED))).select("key")
 
 
 def passes(xs: str, ys: str) -> Column:
@@ -226,8 +237,9 @@ def light_pairs(light: DataFrame) -> DataFrame:
 
 
 def first_pairs(heavy: DataFrame) -> DataFrame:
-    """Candidates of each filing with at most SALTS early ones under its key: as many as filings, times SALTS."""
-    early = heavy.groupBy("key", F.pmod("k1", F.lit(SALTS)).alias("salt")).agg(F.min_by(F.struct("k1", "low", "high", "sizes"), F.struct("doc", "k1")).alias("f")).select("key", "f.*")
+    """Candidates of each filing with an early one under its key: no more than filings.  The early ones of a class's keys
+    are not all the same: they are the earliest of SALTS parts of the classes, and the key says of which."""
+    early = heavy.groupBy("key").agg(F.min_by(F.struct("k1", "low", "high", "sizes"), F.struct(F.pmod(F.xxhash64("key").bitwiseXOR(F.col("k1")), F.lit(SALTS)), "doc", "k1")).alias("f")).select("key", "f.*")
     return _pairs(heavy, early, F.col("x.k1") != F.col("y.k1"))
 
 
@@ -294,14 +306,14 @@ def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
     lines = written(prepared(docs, ranks, least_words), "zstd")
     repeated, passed = repeats(lines)
     filed = filings(classes_of(lines, repeated, passed))
-    heavy_keys = written(filed.where("maybe_heavy").groupBy("key").agg(F.count(F.lit(1)).alias("filings")).where(F.col("filings") > HEAVY))
+    heavy = written(heavy_keys(filed))
     # Some keys of few filings are treated as heavy ones, which gives the same result.  The filings are a table, so that
     # both sides of the join below are one exchange.
-    heavy_sieve = written(sieve(heavy_keys, "key"))
+    heavy_sieve = written(sieve(heavy, "key"))
     filed = marked(filed, F.col("key"), heavy_sieve)
     filed = written(filed.select(*FILING, "doc", (F.col("maybe_heavy") & F.col("may_match")).alias("heavy")))
     named = written(classes_of(lines, repeated, passed).select("k1", "doc_id", "text_hash", "line_no"))
-    dropped(ranks, lines, passed, heavy_keys, heavy_sieve)
+    dropped(ranks, lines, passed, heavy, heavy_sieve)
     heavy = filed.where("heavy").drop("heavy")
     light = filed.where("not heavy").select(*FILING)
     under_light = written(light_pairs(light))

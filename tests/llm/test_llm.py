@@ -552,6 +552,25 @@ def test_line_dedup_tells_long_lines_apart(spark, monkeypatch):
     assert 5 <= light.count() < 20 and sorted(lines.rest_pairs(filed, none).collect()) == sorted(light.collect())
 
 
+def test_line_dedup_parts_no_lines_that_merely_share_a_word(spark, monkeypatch):
+    """Keys of many lines that are not alike aren't heavy, keys of near copies are; a filing is first compared with one
+    early one a key."""
+    monkeypatch.setattr(lines, "HEAVY", 8)
+    r = random.Random(6)
+    unlike = [r.sample([f"t{k}" for k in range(120)], 3) + r.sample([f"c{k}" for k in range(60)], 9) for _ in range(600)]
+    copies = [[f"n{k}" for k in range(40) if k != i % 40] + [f"own{i}"] for i in range(80)]
+    docs = lines.keyed(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(unlike + copies)], "doc_id long, text string"))
+    seen, rest = [], lines.rest_pairs
+    monkeypatch.setattr(lines, "rest_pairs", lambda heavy, found: seen.extend(heavy.localCheckpoint().collect()) or rest(heavy, found))
+    got = {x.doc_id for x in lines.duplicate_lines(docs).collect()}
+    sets = [frozenset(x) for x in unlike + copies]
+    assert got == {i for i, x in enumerate(sets) if any(len(x & y) * 5 >= 4 * len(x | y) for y in sets[:i])}
+    assert len([x for x in seen if x.doc < 600]) < 180 and len({x.doc for x in seen if x.doc >= 600}) == 80
+    monkeypatch.setattr(lines, "_pairs", lambda x, y, *_: y)
+    heavy = spark.createDataFrame(seen)
+    assert lines.first_pairs(heavy).count() == heavy.select("key").distinct().count()
+
+
 @pytest.mark.parametrize("name", ["op2_line_dedup", "op4_sharding", "op9_decontaminate"])
 def test_sql_agrees_on_odd_rows(spark, tmp_path, name):
     """The registered SQL gives the rows of the query over odd rows, repeated ones and empty tables too."""

@@ -108,7 +108,8 @@ def prepared(docs: DataFrame, ranks: DataFrame, least_words: int = LEAST_WORDS)
     """A row for each line that takes part: doc_id, text_hash, line_no (these give the order of lines), k1 and k2 (two
     hashes of the set of words), n, low and high (128 bits, of which each word flips the one of its hash modulo 128: two
     sets differ in at least as many words as bits, and long sets don't fill them), mark (by the least and
-    the greatest hash) and filed (key, position in the order and maybe_heavy of each filing).
+    the greatest hash) and filed (key, position in the order and maybe_heavy of each filing).  A word that occurs once is
+    no key, since no other line has it.
 
     The words are made inside the generator, which gives them once; a filter on a later column would split anew."""
     enough = lambda x: F.size(x["hashes"]) >= 1
@@ -133,7 +134,9 @@ def prepared(docs: DataFrame, ranks: DataFrame, least_words: int = LEAST_WORDS)
     # The partner's size decides on B; for all sizes that may be the lesser of the two, B has at most two values.
     low, high = _parts(F.ceil(n * NUMERATOR / DENOMINATOR)), _parts(n)
     out = _paired(_paired(out, high, F.lit(True), "p"), low, low != high, "q")
+    once = F.lit(1 << 56)  # rank 0
     single = F.transform("rare", lambda w, i: F.struct(w.alias("key"), i.alias("at"), (w >= F.lit(_rank(HEAVY) << 56)).alias("maybe_heavy")))
+    single = F.filter(single, lambda f: f["key"] >= once)
     none = F.array().cast("array<struct<key:long,at:int,maybe_heavy:boolean>>")
     return out.select(*keep, F.concat(F.coalesce(single, none), F.coalesce("p", none), F.coalesce("q", none)).alias("filed"))
 

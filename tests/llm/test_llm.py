@@ -571,6 +571,12 @@ def test_line_dedup_parts_no_lines_that_merely_share_a_word(spark, monkeypatch):
     assert lines.first_pairs(heavy).count() == heavy.select("key").distinct().count()
 
 
+def test_line_dedup_files_no_word_that_occurs_once(spark):
+    docs = lines.keyed(spark.createDataFrame([(0, "a b c d e"), (1, "f g h i j"), (2, "k l m n o\nf g p q r")], "doc_id long, text string"))
+    filed = lines.filings(lines.prepared(docs, lines.rarity(docs))).collect()
+    assert {x.doc for x in filed} == {2} or not filed
+
+
 @pytest.mark.parametrize("name", ["op2_line_dedup", "op4_sharding", "op9_decontaminate"])
 def test_sql_agrees_on_odd_rows(spark, tmp_path, name):
     """The registered SQL gives the rows of the query over odd rows, repeated ones and empty tables too."""
